@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formatting, pairs, quantiles, topn
+from . import formatting, neardup, pairs, quantiles, topn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,26 @@ def p3_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(daily, ["run_id"]), ["run_id"], QUANTILES)
 
 
+# --- 4 ---------------------------------------------------------------------------------------
+
+
+def _primers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both primers of a target, each in both directions."""
+    both = F.array("fwd_primer", "rev_primer")
+    back = F.transform(both, lambda p: F.translate(F.reverse(F.upper(p)), "ACGT", "TGCA"))
+    return _table(spark, sf_dir, "targets").select(F.col("target_name").alias("block"), F.concat(both, back).alias("motifs"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = neardup.near_pairs(_table(spark, sf_dir, "clusters"), "cluster_id", "target_name", "seq_", _primers(spark, sf_dir))
+    return neardup.expand(members, links).select(F.col("id_a").alias("cluster_id_a"), F.col("id_b").alias("cluster_id_b"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_classes(_table(spark, sf_dir, "clusters"), "cluster_id", "target_name", "seq_", _primers(spark, sf_dir))
+    return found.withColumnRenamed("id", "cluster_id").withColumnRenamed("class", "class_id")
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 
@@ -82,7 +102,7 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_odds, p2_found, p2_top3, p3_found, p3_percentiles, p3_days_combined, p5_found, p5_copies)}
+    return {f.__name__: f for f in (p1_found, p1_odds, p2_found, p2_top3, p3_found, p3_percentiles, p3_days_combined, p4_found, p4_classes, p5_found, p5_copies)}
 
 
 _PAIRS = """
