@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -55,3 +58,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of any executor, once per application.
+
+    The archive is laid into Spark's own file folder on the driver, from where Spark serves it.
+    """
+    root = Path(SparkFiles.getRootDirectory())
+    archive = root / "haplolake_package.zip"
+    if not archive.exists():
+        package = Path(__file__).parent
+        partial = archive.with_suffix(f".{uuid.uuid4().hex}")
+        with zipfile.ZipFile(partial, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, f"{package.name}/{p.relative_to(package)}")
+        partial.rename(archive)
+        spark.sparkContext.addPyFile(str(archive))
+    return spark
