@@ -73,20 +73,13 @@ def p3_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 4 ---------------------------------------------------------------------------------------
 
 
-def _primers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both primers of a target, each in both directions."""
-    both = F.array("fwd_primer", "rev_primer")
-    back = F.transform(both, lambda p: F.translate(F.reverse(F.upper(p)), "ACGT", "TGCA"))
-    return _table(spark, sf_dir, "targets").select(F.col("target_name").alias("block"), F.concat(both, back).alias("motifs"))
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, links = neardup.near_pairs(_table(spark, sf_dir, "clusters"), "cluster_id", "target_name", "seq_", _primers(spark, sf_dir))
+    members, links = neardup.near_pairs(_table(spark, sf_dir, "clusters"), "cluster_id", "target_name", "seq_")
     return neardup.expand(members, links).select(F.col("id_a").alias("cluster_id_a"), F.col("id_b").alias("cluster_id_b"))
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_classes(_table(spark, sf_dir, "clusters"), "cluster_id", "target_name", "seq_", _primers(spark, sf_dir))
+    found = neardup.near_classes(_table(spark, sf_dir, "clusters"), "cluster_id", "target_name", "seq_")
     return found.withColumnRenamed("id", "cluster_id").withColumnRenamed("class", "class_id")
 
 
