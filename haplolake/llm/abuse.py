@@ -13,6 +13,7 @@ quotation or court reporting close by weaken a cue. A text's score joins its cue
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -33,11 +34,11 @@ THRESHOLD = 0.5
 # fixed values: the lexicon, as plain words
 STRONG_TERMS = """idiot moron cretin imbecile halfwit degenerate dickhead asshole shithead bastard prick scumbag bootlicker whore
 wanker motherfucker cunt subhuman fuckwit vollidiot arschloch scheisskerl mistkerl schlampe hure wichser drecksau miststuck
-hurensohn untermenschen abschaum gesindel crétin abruti imbécile connard connasse salaud salope enculé enfoiré pourriture racaille débile
+hurensohn hohlkopf untermenschen abschaum gesindel crétin abruti imbécile connard connasse salaud salope enculé enfoiré pourriture racaille débile
 fumier tits titten nichons ficken baiserais"""
 AIMED_TERMS = """liar rat rats pig swine scum filth trash parasite maggot maggots vermin cockroaches cow bitch savages disease animals sow slut
 schwein schweine sau dreck ratte ratten ungeziefer seuche parasiten tiere schmarotzer trottel porc ordure ordures rats vermine parasites
-crasse maladie cafards con sous-hommes lügner menteur whore lickspittle coward feigling lâche vieh bestien bêtes"""
+crasse maladie cafards putain bouffon kakerlaken wilde wilden con sous-hommes lügner menteur whore lickspittle coward feigling lâche vieh bestien bêtes"""
 AIM_BEFORE = """you du tu sale quel quelle espèce complete sorry real damned filthy worthless gutless dumb lying stinking dirty miserable
 ganzer echter verlogener dreckige dreckiger blöde blöder feiger sacré grosse gros pauvre"""
 AIM_ARTICLE = "a an ein eine un une"
@@ -74,6 +75,9 @@ abuse | étouffe étouffer | espère
 abuse | muzzle
 abuse | maulkorb
 abuse | muselière
+abuse | sign | damned | paper
+abuse | unterschreibt | nur | etwas
+abuse | signe | seul | papier
 abuse | scraped | boot
 abuse | kratze | schuh
 abuse | gratte | chaussure semelle
@@ -137,7 +141,7 @@ sexual | lèche | chérie veux"""
 _LOOKALIKE = str.maketrans("аеорсухіѕјкмтнвԁɡαερινοκτυ013457$@!8€+|", "aeopcyxisjkmthbdgaepivokt" + "u" + "oieastsaibetl")
 _FORMS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l"})
 _ANY = "*"
-_BETWEEN = r"[^\p{L}\p{N}*@$!€+|\x{301}\x{308}]+"
+_BETWEEN = r"[^\p{L}\p{N}*@$!€+|\x{301}\x{308}-]+"
 
 
 def fold(word: str) -> str:
@@ -158,7 +162,7 @@ def unmask(word: str) -> tuple[str, bool]:
     stretched = len(out) < len(open_)
     if stretched:
         out = "".join(c for k, c in enumerate(out) if not k or c != out[k - 1])
-    return out, stretched or open_ != plain
+    return out, stretched or open_ != plain or _ANY in out
 
 
 def permitted(length: int, disguised: bool) -> int:
@@ -187,6 +191,10 @@ class Lexicon:
             self.cues.append((kind, sets))
         self.core = self.strong | self.aimed | set(self.anchored)
         self.sexual = self._all("tits titten nichons ficken baiserais")
+        exact_only = (self.before | self.article | self.before_article | self.groups | self.equating | self.quoting) - self.core
+        for _, sets in self.cues:
+            exact_only -= set().union(*sets)
+        self.exact_only = exact_only  # frame words are common words: no edits
         self.memo: dict[str, int] = {}
 
     def _all(self, words: str) -> set[int]:
@@ -212,6 +220,10 @@ class Lexicon:
         return hit
 
     def _find(self, word: str) -> int:
+        if "-" in word:  # a hyphen may be put into a word to hide it, or join two
+            parts = [p for p in word.split("-") if p]
+            found = self.find("".join(parts)) if len(parts) > 1 else -1
+            return found if found >= 0 else next((n for p in parts if (n := self.find(p)) >= 0), -1)
         plain = fold(word)
         if plain in self.number:
             return self.number[plain]
@@ -220,9 +232,13 @@ class Lexicon:
         open_, disguised = unmask(word)
         if disguised and open_ in self.number:
             return self.number[open_]
-        letters = sum(c.isalpha() for c in plain)
-        if letters < 2 and not any(c in "*@$" for c in plain) or len(open_) < 4 or set(open_) == {_ANY}:
+        if len(open_) < (3 if disguised else 4) or sum(c.isalpha() for c in open_) < 2:
             return -1
+        # several masks in a row mostly stand for one letter
+        found = self._walk(re.sub(r"\*+", _ANY, open_), True) if _ANY * 2 in open_ else -1
+        return found if found >= 0 else self._walk(open_, disguised)
+
+    def _walk(self, open_: str, disguised: bool) -> int:
         best, found = 99, -1
         most = permitted(len(open_), disguised)
         # the automaton's state is the row of edit counts; it dies when no count is within what is permitted
@@ -230,7 +246,7 @@ class Lexicon:
         while stack:
             node, row, depth = stack.pop()
             end = node.get("")
-            if end is not None and row[-1] < best and row[-1] <= permitted(min(depth, len(open_)), disguised):
+            if end is not None and (disguised or end not in self.exact_only) and row[-1] < best and row[-1] <= permitted(min(depth, len(open_)), disguised):
                 if disguised or open_[0] == self.terms[end][0]:
                     best, found = row[-1], end
             for c, child in node.items():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formatting, neardup, pairs, quantiles, topn
+from . import abuse, formatting, leaks, neardup, packing, pairs, quantiles, topn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,8 +95,66 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.collapse_formatting(_table(spark, sf_dir, "seq_records"), "rec_id", "header", "seq_").drop("root")
 
 
+# --- 6 ---------------------------------------------------------------------------------------
+
+CAPACITY = 2048
+
+
+def _vocabulary() -> dict[str, str]:
+    """Path of a public vocabulary and its word pattern; HAPLOLAKE_VOCABULARY names another file."""
+    import public_tokenizers
+
+    return {"vocabulary": os.environ.get("HAPLOLAKE_VOCABULARY", public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = packing.token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", **_vocabulary())
+    return packing.pack_items(counts, CAPACITY).withColumnRenamed("id", "doc_id").withColumnRenamed("container", "container_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, sf_dir).withColumnRenamed("container_id", "container"), CAPACITY)
+
+
+# --- 7 ---------------------------------------------------------------------------------------
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and test item it carries, with the share of the item's words."""
+    found = leaks.find_leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+    return found.withColumn("share", F.round("share", 6))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the number of documents that carry it, whole (nine words of ten) or in part."""
+    per = p7_leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("docs"), F.count_if(F.col("share") >= 0.9).alias("whole"))
+    items = _table(spark, sf_dir, "eval_items").select("item_id", "task_kind")
+    return items.join(per, "item_id", "left").select("item_id", "task_kind", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("whole", F.lit(0)).alias("whole"))
+
+
+# --- 8 ---------------------------------------------------------------------------------------
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_abuse(_table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, sf_dir), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_odds, p2_found, p2_top3, p3_found, p3_percentiles, p3_days_combined, p4_found, p4_classes, p5_found, p5_copies)}
+    found = [p1_found, p1_odds, p2_found, p2_top3, p3_found, p3_percentiles, p3_days_combined, p4_found, p4_classes, p5_found, p5_copies]
+    found += [p6_packed, p6_fill, p7_found, p7_leaks, p7_items, p8_found, p8_scores, p8_source_rates]
+    return {f.__name__: f for f in found}
 
 
 _PAIRS = """

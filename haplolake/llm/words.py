@@ -9,6 +9,8 @@ import xxhash
 
 #: a word divided at a line end
 _DIVIDED = r"-[ \t]*\r?\n[ \t]*"
+#: characters of no width
+_UNSEEN = r"[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]+"
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
 
@@ -19,6 +21,7 @@ def split_words(texts: pa.Array, between: str = _BETWEEN) -> tuple[pa.Dictionary
     """
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     low = pc.replace_substring_regex(low, pattern=_DIVIDED, replacement="")
+    low = pc.replace_substring_regex(low, pattern=_UNSEEN, replacement="")
     low = pc.utf8_trim_whitespace(pc.replace_substring_regex(low, pattern=between, replacement=" "))
     lists = pc.split_pattern(low, pattern=" ")
     words = lists.flatten()
