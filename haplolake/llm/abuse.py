@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import split_words
+from .words import small_slices, split_words
 
 #: words to either side in which the groups of a cue must be found
 WINDOW = 11
@@ -336,7 +336,7 @@ def score_texts(texts: pa.Array) -> tuple[np.ndarray, list[str | None]]:
 
 def _score(keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_slices(whole, keep)):
             scores, kinds = score_texts(batch.column(keep))
             arrays = [batch.column(c) for c in range(keep)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores), pa.array(kinds, pa.string())], names=[*batch.schema.names[:keep], "score", "kind"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import split_words, word_hashes
+from .words import small_slices, split_words, word_hashes
 
 #: outputs of a walk; it reads half as many words on average
 STEPS = 32
@@ -197,9 +197,7 @@ def find_in_batch(items: Items, texts: pa.Array) -> tuple[list[int], list[int],
 def _search(ids: list[int], texts: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in small_slices(whole, "text")):
             rows, found, share = find_in_batch(items, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items.ids[found] if found else [], pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "share"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,3 +34,15 @@ def split_words(texts: pa.Array, between: str = _BETWEEN) -> tuple[pa.Dictionary
 def word_hashes(dictionary: pa.Array, seed: int) -> np.ndarray:
     """A 64-bit hash per word; the empty word is 0."""
     return np.array([xxhash.xxh64_intdigest(w, seed) if w else 0 for w in dictionary.to_pylist()], np.uint64)
+
+
+def small_slices(batch: pa.RecordBatch, column: str | int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive slices of at most ``most`` bytes of text (a longer text stands alone): bounds a kernel's memory, not its work."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        until = max(until, at + 1)
+        yield batch.slice(at, until - at)
+        at = until
