@@ -1 +1 @@
-
+"""Column functions over sequences, qualities and names; all stay inside the JVM."""

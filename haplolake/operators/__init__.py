@@ -1 +1 @@
-
+"""Operators: DataFrame in, DataFrame out, nothing executed before the caller asks."""
