@@ -90,7 +90,7 @@ def kmer_screen(reads: DataFrame, read_id: str, seq: str, refs: DataFrame, ref_s
     """
     own = F.array_distinct(sq.kmers(F.upper(seq), k))
     left = reads.select(F.col(read_id).alias("_read"), *by, own.alias("_k")).select("_read", *by, F.size("_k").alias("_own"), F.explode("_k").alias("_kmer"))
-    right = refs.select(*by, F.monotonically_increasing_id().alias("_ref"), F.explode(F.array_distinct(sq.kmers(F.upper(ref_seq), k))).alias("_kmer"))
+    right = refs.select(*by, F.md5(F.upper(ref_seq)).alias("_ref"), F.explode(F.array_distinct(sq.kmers(F.upper(ref_seq), k))).alias("_kmer"))
     shared = left.join(right, [*by, "_kmer"]).groupBy("_read", "_own", "_ref").agg(F.count("*").alias("_n"))
     passed = shared.where(F.col("_n") * 2 >= F.col("_own") * halves)
     return passed.groupBy(F.col("_read").alias(read_id)).agg(F.max("_n").alias("best"))

@@ -141,14 +141,14 @@ def _first_refs(rows: DataFrame) -> DataFrame:
     return first
 
 
-@query(_SCREEN + "select cluster_id, shared best from s join own using (cluster_id) where 2 * shared >= own")
+@query(_SCREEN + "select cluster_id, shared best from s join own using (cluster_id) where 2 * shared >= own.own")
 def contamination_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences that share half of their 5-mers with the reference of their target."""
     rows = table(spark, sf_dir, "clusters")
     return matching.kmer_screen(rows, "cluster_id", "seq_", _first_refs(rows), "ref", ["target_name"])
 
 
-@query(_SCREEN + "select cluster_id from clusters where cluster_id not in (select cluster_id from s join own using (cluster_id) where 2 * shared >= own)")
+@query(_SCREEN + "select cluster_id from clusters where cluster_id not in (select cluster_id from s join own using (cluster_id) where 2 * shared >= own.own)")
 def contamination_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "clusters")
     passed = matching.kmer_screen(rows, "cluster_id", "seq_", _first_refs(rows), "ref", ["target_name"])
