@@ -35,7 +35,7 @@ STRIP = 64
 #: words that may lie between the parts of a passage
 BETWEEN = 60
 #: share of the item's words found in order in one place, and of its three-word runs
-MIN_WORDS, MIN_RUNS = 0.5, 0.48
+MIN_WORDS, MIN_RUNS = 0.5, 0.46
 #: items of one pass
 BLOCK_ITEMS = 2000
 

@@ -2,8 +2,8 @@
 
 A summary is a sorted list of tuples (v, rmin, rmax, w): ``w`` values equal ``v`` for certain, at
 least ``rmin`` values are less than ``v`` and at most ``rmax`` are not greater. Merging adds the
-intervals of both sides. A summary is compressed only when it outgrows its capacity, by leaving
-out tuples while the ranks that become uncertain stay within ``2 * eps * n``. The uncertainty is
+intervals of both sides. A summary is compressed only when it outgrows its capacity, 1 / eps tuples:
+those nearest to evenly spaced ranks stay, so at most ``eps * n`` more ranks become uncertain. The uncertainty is
 carried by the tuples themselves, so the bound a result reports is the one really used up, not
 the worst case; values of a small domain (base qualities) never outgrow the capacity and stay
 exact through any number of merges.
@@ -19,9 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: rank error permitted at one compression, as a share of the summarised values
-EPS = 0.001
-#: tuples a summary may hold before it is compressed
+#: tuples a summary may hold; a compression makes at most 1 / CAPACITY of all ranks more uncertain
 CAPACITY = 1024
 #: parts that a key's summaries are merged in before the last merge
 SALTS = 16
@@ -59,17 +57,17 @@ def merge(a: Summary, b: Summary) -> Summary:
     return v, *(x + y for x, y in zip(_at(a, v), _at(b, v), strict=True))
 
 
-def compress(s: Summary, eps: float = EPS, capacity: int = CAPACITY) -> Summary:
-    """Leave out tuples of an overgrown summary, never letting more than ``2 * eps * n`` ranks between two neighbours go unknown."""
-    v, rmin, rmax, w = s
+def compress(s: Summary, capacity: int = CAPACITY) -> Summary:
+    """At most about ``capacity`` tuples, those nearest to evenly spaced ranks; between two of them up to n / capacity more ranks become uncertain."""
+    v, rmin, rmax, _ = s
     if v.size <= capacity:
         return s
-    room = 2 * eps * rmax[-1]
-    least_after, most_before = rmin + w, rmax - w
-    keep = [0]
-    while keep[-1] < v.size - 1:
-        furthest = int(np.searchsorted(most_before, least_after[keep[-1]] + room, "right")) - 1
-        keep.append(min(max(furthest, keep[-1] + 1), v.size - 1))
+    middle = (rmin + rmax) / 2
+    wanted = np.linspace(middle[0], middle[-1], capacity)
+    after = np.minimum(np.searchsorted(middle, wanted), v.size - 1)
+    before = np.maximum(after - 1, 0)
+    nearest = np.where(wanted - middle[before] < middle[after] - wanted, before, after)
+    keep = np.unique(np.concatenate(([0], nearest, [v.size - 1])))
     return tuple(x[keep] for x in s)
 
 
@@ -114,7 +112,7 @@ def _count_rows(low: float, high: float):
             arrays = [batch.column(c) for c in range(batch.num_columns - 1)]
             arrays.append(pa.ListArray.from_arrays(offsets, pa.array(vocabulary[key % width])))
             arrays.append(pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "v", "n"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "_v", "_n"])
 
     return run
 
@@ -139,7 +137,7 @@ def _as_batches(state: dict[tuple, Summary], schema: pa.Schema) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*keys, *parts], names=[*schema.names, *_FIELDS])
 
 
-def _merge_by_key(keys: int, eps: float, capacity: int):
+def _merge_by_key(keys: int, capacity: int):
     """One summary per key and partition; the first ``keys`` columns are the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +147,14 @@ def _merge_by_key(keys: int, eps: float, capacity: int):
             schema = pa.schema([batch.schema.field(c) for c in range(keys)])
             cols = [batch.column(c).to_pylist() for c in range(keys)]
             for key, s in zip(zip(*cols, strict=True), _lists([batch.column(f) for f in _FIELDS]), strict=True):
-                state[key] = compress(merge(state[key], tuple(s)), eps, capacity) if key in state else tuple(s)
+                state[key] = compress(merge(state[key], tuple(s)), capacity) if key in state else tuple(s)
         if schema is not None:
             yield from _as_batches(state, schema)
 
     return run
 
 
-def _sum_counts(keys: int, identity: list[str], eps: float, capacity: int):
+def _sum_counts(keys: int, identity: list[str], capacity: int):
     """Rows (identity and key columns, v, n), equal identities next to each other: one summary per key and partition.
 
     A batch is reduced by one bincount over (key, value) and then merged into the keys' summaries.
@@ -188,7 +186,7 @@ def _sum_counts(keys: int, identity: list[str], eps: float, capacity: int):
             members = groups.column("row_list").combine_chunks()
             of_row = np.empty(batch.num_rows, np.int64)
             of_row[members.flatten().to_numpy()] = pc.list_parent_indices(members).to_numpy()
-            v, n = batch.column("v"), batch.column("n")
+            v, n = batch.column("_v"), batch.column("_n")
             vocabulary, code = np.unique(v.flatten().to_numpy(), return_inverse=True)
             key = of_row[pc.list_parent_indices(v).to_numpy()] * vocabulary.size + code
             whole, inverse = np.unique(key, return_inverse=True)
@@ -197,7 +195,7 @@ def _sum_counts(keys: int, identity: list[str], eps: float, capacity: int):
             names = zip(*(groups.column(str(c)).to_pylist() for c in range(keys)), strict=True)
             for name, a, z in zip(names, np.concatenate(([0], ends[:-1])), ends, strict=True):
                 s = build(vocabulary[whole[a:z] % vocabulary.size], count[a:z])
-                state[name] = compress(merge(state[name], s) if name in state else s, eps, capacity)
+                state[name] = compress(merge(state[name], s) if name in state else s, capacity)
         if schema is not None:
             yield from _as_batches(state, schema)
 
@@ -209,7 +207,7 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
 
-def summarise(df: DataFrame, keys: list[str], values: str, *, identity: list[str] | None = None, low: float = float("-inf"), high: float = float("inf"), eps: float = EPS, capacity: int = CAPACITY) -> DataFrame:
+def summarise(df: DataFrame, keys: list[str], values: str, *, identity: list[str] | None = None, low: float = float("-inf"), high: float = float("inf"), capacity: int = CAPACITY) -> DataFrame:
     """Summaries of an array column, one per key and partition: columns keys, v, rmin, rmax, w. ``combine`` joins them.
 
     With ``identity`` rows that agree in the keys and those columns count once; should their arrays
@@ -218,22 +216,24 @@ def summarise(df: DataFrame, keys: list[str], values: str, *, identity: list[str
     own. Empty tables give no rows. Columns that aren't named are not read.
     """
     names = list(dict.fromkeys([*keys, *(identity or [])]))
+    if set(names) & {*_FIELDS, "_v", "_n", "_values"}:
+        raise ValueError(f"a key can't be named like a summary's columns: {', '.join(_FIELDS)}")
     rows = df.select(*names, F.col(values).alias("_values")).where(F.size("_values") > 0)
-    slim = rows.mapInArrow(_count_rows(low, high), f"{_key_schema(df, names)}, v array<double>, n array<int>").where(F.size("v") > 0)
+    slim = rows.mapInArrow(_count_rows(low, high), f"{_key_schema(df, names)}, _v array<double>, _n array<int>").where(F.size("_v") > 0)
     if identity:
         # what is shuffled are a row's few (value, count) pairs, not its values
-        slim = slim.repartition(*names).sortWithinPartitions(*names, "v", "n")
-    return slim.mapInArrow(_sum_counts(len(keys), names if identity else [], eps, capacity), f"{_key_schema(df, keys)}, {SUMMARY}")
+        slim = slim.repartition(*names).sortWithinPartitions(*names, "_v", "_n")
+    return slim.mapInArrow(_sum_counts(len(keys), names if identity else [], capacity), f"{_key_schema(df, keys)}, {SUMMARY}")
 
 
-def combine(summaries: DataFrame, keys: list[str], *, eps: float = EPS, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def combine(summaries: DataFrame, keys: list[str], *, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
     """Merge summaries (of partitions, days, deliveries) into one per key, hierarchically.
 
     First within salted parts of a key, then the parts: a key with very many summaries is never
     merged by one task alone. The compressions of the levels add up in the tuples' intervals.
     """
     schema = f"{_key_schema(summaries, keys)}, {SUMMARY}"
-    merge_all = _merge_by_key(len(keys), eps, capacity)
+    merge_all = _merge_by_key(len(keys), capacity)
     slim = summaries.select(*keys, *_FIELDS)
     parts = slim.repartition(*keys, F.pmod(F.xxhash64("v", "w"), F.lit(salts))).mapInArrow(merge_all, schema)
     return parts.repartition(*keys).mapInArrow(merge_all, schema)
