@@ -356,3 +356,46 @@ def auto_overlap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.when(F.col("st") == "R1ENDSINR2", 0).when(F.col("st") == "R1BEGINSINR2", 1).otherwise(2)
     s = table(spark, sf_dir, "clusters").where("seq_ is not null").groupBy("target_name", st.alias("st")).agg(F.count("*").alias("n"))
     return s.groupBy("target_name").agg(F.max_by("st", F.struct("n", -order)).alias("status"), F.sum("n").alias("total"))
+
+
+@query("""with u as (select distinct target_name, upper(seq_) s from clusters where seq_ is not null)
+          select target_name, s seq, array_to_string(list_transform(range(1, length(s) - 1, 3), lambda i: case when regexp_full_match(substr(s, i, 3), '[ACGT]{3}') then
+          substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', (16 * (strpos('TCAG', s[i]) - 1) + 4 * (strpos('TCAG', s[i + 1]) - 1) + strpos('TCAG', s[i + 2]))::int, 1) else 'X' end), '') protein from u""")
+def translated_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import variants
+
+    unique = table(spark, sf_dir, "clusters").where("seq_ is not null").select("target_name", F.upper("seq_").alias("seq")).distinct()
+    return unique.withColumn("protein", variants.translate(F.col("seq")))
+
+
+@query("""with h as (select project_name, h_popuid, count(distinct s_sample) n from sample_info where project_name is not null and h_popuid is not null and s_sample is not null group by all),
+          t as (select project_name, sum(n) s, count(*) haplotypes, sum(n * n) q from h group by 1)
+          select project_name, haplotypes, round(s / (s - 1) * (1 - q / (s * s)), 6) he, round(1 / (q / (s * s)), 6) effective from t""")
+def population_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import variants
+
+    rows = table(spark, sf_dir, "sample_info").where("project_name is not null and h_popuid is not null and s_sample is not null")
+    return variants.diversity(rows.groupBy("project_name", "h_popuid").agg(F.count_distinct("s_sample").alias("n")), ["project_name"], "n")
+
+
+@query()
+def candidate_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First eight bases of every run's reads, collapsed into candidate barcodes."""
+    from ..operators import barcodes
+
+    starts = table(spark, sf_dir, "seq_reads").where("length(seq_) >= 8").select("run_id", F.upper(F.substring("seq_", 1, 8)).alias("start"))
+    return barcodes.candidates(starts, "run_id", "start")
+
+
+@query("""select s_sample, n_name, count(*) n from (select s_sample, regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', '-', 'g') n_name from sample_info where s_sample is not null and s_name is not null) group by all""")
+def sample_name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display names brought to one form, with the number of rows of each."""
+    rows = table(spark, sf_dir, "sample_info").where("s_sample is not null and s_name is not null")
+    return rows.groupBy("s_sample", F.regexp_replace(F.lower(F.trim("s_name")), "[^a-z0-9]+", "-").alias("n_name")).agg(F.count("*").alias("n"))
+
+
+@query("""select h_popuid, max(h_sampcnt) stated, count(distinct s_sample) counted from sample_info where h_popuid is not null group by 1 having max(h_sampcnt) is distinct from count(distinct s_sample)""")
+def stale_sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Haplotypes whose stated number of samples isn't the number found."""
+    h = table(spark, sf_dir, "sample_info").where("h_popuid is not null").groupBy("h_popuid").agg(F.max("h_sampcnt").alias("stated"), F.count_distinct("s_sample").alias("counted"))
+    return h.where(~F.col("stated").eqNullSafe(F.col("counted")))
