@@ -171,7 +171,8 @@ def cooccurring_pairs(df: DataFrame, group: str, basket: str, item: str, *, min_
     items = materialise(_dense_ids(useful, ["g", "x"]), "dictionary")
 
     chunks = items.groupBy("g").agg(F.ceil(F.sum("n_x") / CHUNK_ROWS).alias("_salts"))
-    numbered = base.join(items.select("g", "x", "id"), ["g", "x"]).join(chunks, "g")
+    # the number of salts travels with the items, so no join is keyed by a group alone on the side of the rows
+    numbered = base.join(items.select("g", "x", "id").join(chunks, "g"), ["g", "x"])
     large = numbered.groupBy("g", "b").agg(F.ceil(F.count("*") / block).alias("_blocks")).where("_blocks > 1")
     marked = numbered.join(large, ["g", "b"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     marked = marked.withColumn("blk", F.pmod(F.hash("id"), F.col("_blocks")).cast("long"))
