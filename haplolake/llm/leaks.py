@@ -27,7 +27,7 @@ from .words import small_slices, split_words, word_hashes
 #: outputs of a walk; it reads half as many words on average
 STEPS = 32
 #: output positions in a hash, hashes per walk, walks
-SAMPLED, SAMPLES, WALKS = 12, 4, 2
+SAMPLED, SAMPLES, WALKS = 12, 3, 2
 #: least share of an item's window starts met on one diagonal, and least number of them
 MIN_HITS, LEAST_HITS = 0.08, 4
 #: diagonals are counted in overlapping strips of twice this many words
