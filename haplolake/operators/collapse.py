@@ -1,11 +1,11 @@
 """Error-tolerant collapse, chimeras, spanning graphs, difference tables.
 
-Kernels work on the distinct sequences of one sample; groups are spread by ``applyInPandas``, whose largest
-group is a sample's number of distinct sequences (dereplicate first), never a population.
+Kernels work on the distinct sequences of one sample, gathered as one row; the largest row is a sample's number of distinct sequences (dereplicate first), never a population.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,7 +183,22 @@ def collapse(df: DataFrame, by: list[str], seq: str, count: str, rounds: list[Ro
     unique = unique.agg(F.coalesce(F.sum(count), F.lit(0.0)).alias("cnt"), *quality)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", seq string, cnt double, into string"
-    return unique.groupBy(*by).applyInPandas(lambda g: collapse_group(g, rounds)[[*by, "seq", "cnt", "into"]], schema)
+    groups = unique.groupBy(*by).agg(F.collect_list(F.struct("seq", "cnt", *(["qual"] if qual else []))).alias("_g"))
+    # a key with one sequence has nothing to collapse and stays in the JVM
+    single = groups.where(F.size("_g") == 1).select(*by, F.col("_g")[0]["seq"].alias("seq"), F.col("_g")[0]["cnt"].alias("cnt"), F.col("_g")[0]["seq"].alias("into"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for row in batch.itertuples(index=False):
+                done = collapse_group(pd.DataFrame(list(row[-1])), rounds)[["seq", "cnt", "into"]]
+                for i, c in enumerate(by):
+                    done.insert(i, c, row[i])
+                parts.append(done)
+            if parts:
+                yield pd.concat(parts)
+
+    return single.unionByName(groups.where(F.size("_g") > 1).select(*by, "_g").mapInPandas(run, schema))
 
 
 def chimeras(unique: DataFrame, by: list[str], times: int = 2) -> DataFrame:

@@ -14,6 +14,8 @@ from ..functions import sequence as sq
 
 #: rows up to which a query set is broadcast
 BROADCAST_ROWS = 10_000
+#: references up to which their k-mers are broadcast as arrays (some kilobytes each)
+BROADCAST_REFS = 2_000
 
 
 def _hits(reads: DataFrame, read_id: str, seq: Column, motifs: DataFrame, name: str, motif: str, errors: int, start: int, stop: int | None) -> DataFrame:
@@ -21,20 +23,22 @@ def _hits(reads: DataFrame, read_id: str, seq: Column, motifs: DataFrame, name:
     small = motifs.select(F.col(name).alias("_name"), F.upper(motif).alias("_motif")).where(F.col(motif).isNotNull() & (F.length(motif) > 0))
     rows = reads.select(F.col(read_id).alias("_read"), F.upper(seq).alias("_seq"))
     pieces = errors + 1
-    last = F.greatest(F.length("_seq") - 1, F.lit(start)) if stop is None else F.lit(stop)
-    windows = rows.where(F.col("_seq").isNotNull()).withColumn("_off", F.explode(F.sequence(F.lit(start), last)))
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     seeds = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     width = F.floor(F.length("_motif") / pieces)
     seeds = seeds.withColumn("_at", (F.col("_piece") * width).cast("int")).withColumn("_len", F.when(F.col("_piece") == pieces - 1, F.length("_motif") - F.col("_at")).otherwise(width).cast("int"))
     seeds = seeds.withColumn("_seed", F.substring("_motif", F.col("_at") + 1, F.col("_len")))
-    # one cut of the read per (offset, place of a piece, width): the shapes are as many as there are motif lengths
-    shapes = seeds.select("_at", "_len").distinct()
-    cut = windows.join(F.broadcast(shapes), F.length("_seq") >= F.col("_off") + F.col("_at") + F.col("_len"))
-    cut = cut.withColumn("_seed", F.substring("_seq", F.col("_off") + F.col("_at") + 1, F.col("_len")))
-    met = cut.join(seeds, ["_at", "_len", "_seed"]).withColumn("_window", F.substring("_seq", F.col("_off") + 1, F.length("_motif")))
-    met = met.withColumn("errors", sq.hamming(F.col("_window"), F.col("_motif"))).where(F.col("errors") <= errors)
+    # a read is cut once per place and width of a piece; widths and the furthest piece are few values of the motif set
+    shapes = seeds.groupBy("_len").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    cut = rows.where(F.col("_seq").isNotNull()).join(F.broadcast(shapes), F.length("_seq") >= F.col("_len"))
+    last = F.length("_seq") - F.col("_len") if stop is None else F.least(F.length("_seq") - F.col("_len"), F.lit(stop) + F.col("_last"))
+    cut = cut.where(last >= start + F.col("_first")).withColumn("_place", F.explode(F.sequence(F.lit(start) + F.col("_first"), last)))
+    cut = cut.withColumn("_seed", F.substring("_seq", F.col("_place") + 1, F.col("_len")))
+    met = cut.join(seeds, ["_len", "_seed"]).withColumn("_off", F.col("_place") - F.col("_at")).where((F.col("_off") >= start) & (F.length("_seq") >= F.col("_off") + F.length("_motif")))
+    if stop is not None:
+        met = met.where(F.col("_off") <= stop)
+    met = met.withColumn("errors", sq.hamming(F.substring("_seq", F.col("_off") + 1, F.length("_motif")), F.col("_motif"))).where(F.col("errors") <= errors)
     return met.select("_read", "_name", F.col("_off").alias("offset"), "errors").distinct()
 
 
@@ -84,15 +88,21 @@ def zero_filled_counts(keys: DataFrame, key: str, rows: DataFrame, row_key: str)
 def kmer_screen(reads: DataFrame, read_id: str, seq: str, refs: DataFrame, ref_seq: str, by: list[str], *, k: int = 5, halves: int = 1) -> DataFrame:
     """(read_id, best): the largest number of distinct k-mers shared with one reference of the same key, for reads that pass.
 
-    A read passes where ``2 * shared >= halves * own`` for some reference. Shared k-mers are counted by an
-    equi-join on (key, k-mer), with the number of a read's own k-mers carried along; ``by`` may be empty (all references).
-    A read without any k-mer never passes.
+    A read passes where ``2 * shared >= halves * own`` for some reference. A reference set of checked size is
+    broadcast, its k-mers as one array per reference, and a read never leaves its row; a larger one meets the reads
+    in an equi-join on (key, k-mer). ``by`` may be empty (all references). A read without any k-mer never passes.
     """
     own = F.array_distinct(sq.kmers(F.upper(seq), k))
-    left = reads.select(F.col(read_id).alias("_read"), *by, own.alias("_k")).select("_read", *by, F.size("_k").alias("_own"), F.explode("_k").alias("_kmer"))
-    right = refs.select(*by, F.md5(F.upper(ref_seq)).alias("_ref"), F.explode(F.array_distinct(sq.kmers(F.upper(ref_seq), k))).alias("_kmer"))
-    shared = left.join(right, [*by, "_kmer"]).groupBy("_read", "_own", "_ref").agg(F.count("*").alias("_n"))
-    passed = shared.where(F.col("_n") * 2 >= F.col("_own") * halves)
+    left = reads.select(F.col(read_id).alias("_read"), *by, own.alias("_k"))
+    right = refs.where(F.col(ref_seq).isNotNull()).select(*by, F.upper(ref_seq).alias("_r"), F.array_distinct(sq.kmers(F.upper(ref_seq), k)).alias("_rk"))
+    if refs.limit(BROADCAST_REFS + 1).count() <= BROADCAST_REFS:
+        met = left.join(F.broadcast(right), by) if by else left.crossJoin(F.broadcast(right))
+        counted = met.select("_read", F.size("_k").alias("_own"), F.size(F.array_intersect("_k", "_rk")).cast("long").alias("_n"))
+    else:
+        exploded = right.select(*by, F.md5("_r").alias("_ref"), F.explode("_rk").alias("_kmer"))
+        long = left.select("_read", *by, F.size("_k").alias("_own"), F.explode("_k").alias("_kmer"))
+        counted = long.join(exploded, [*by, "_kmer"]).groupBy("_read", "_own", "_ref").agg(F.count("*").alias("_n"))
+    passed = counted.where((F.col("_n") > 0) & (F.col("_n") * 2 >= F.col("_own") * halves))
     return passed.groupBy(F.col("_read").alias(read_id)).agg(F.max("_n").alias("best"))
 
 

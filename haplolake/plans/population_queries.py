@@ -399,3 +399,42 @@ def stale_sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Haplotypes whose stated number of samples isn't the number found."""
     h = table(spark, sf_dir, "sample_info").where("h_popuid is not null").groupBy("h_popuid").agg(F.max("h_sampcnt").alias("stated"), F.count_distinct("s_sample").alias("counted"))
     return h.where(~F.col("stated").eqNullSafe(F.col("counted")))
+
+
+@query("""with u as (select target_name, upper(seq_) seq, sum(cnt_) cnt from clusters where seq_ is not null and target_name is not null group by all),
+          r as (select target_name, seq, 'e' || row_number() over (partition by target_name order by cnt desc, seq) n from u qualify row_number() over (partition by target_name order by cnt desc, seq) <= 3),
+          b as (select u.target_name, u.seq, min((levenshtein(u.seq, r.seq)::int, n)) x from u join r on u.target_name = r.target_name group by all)
+          select target_name, seq, x[2] best, x[1] distance from b""")
+def best_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of the three most abundant sequences of the target."""
+    from ..operators import manifest
+
+    rows = table(spark, sf_dir, "clusters").where("seq_ is not null and target_name is not null")
+    unique = rows.groupBy("target_name", F.upper("seq_").alias("seq")).agg(F.sum("cnt_").alias("cnt"))
+    rank = F.row_number().over(Window.partitionBy("target_name").orderBy(F.desc("cnt"), "seq"))
+    top = unique.withColumn("_r", rank).where("_r <= 3").withColumn("n", F.concat(F.lit("e"), F.col("_r").cast("string")))
+    return manifest.best_expected(rows, ["target_name"], "seq_", top, "n", "seq")
+
+
+@query("""with u as (select distinct target_name, s_sample, upper(seq_) s from clusters where seq_ is not null and target_name is not null and s_sample is not null)
+          select x.target_name, x.s_sample, x.s a, y.s b, levenshtein(x.s, y.s)::int distance from u x join u y on x.target_name = y.target_name and x.s_sample = y.s_sample and x.s < y.s""")
+def all_by_all_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import manifest
+
+    return manifest.pairwise_distances(table(spark, sf_dir, "clusters").dropna(subset=_KEY), _KEY, "seq_")
+
+
+@query("""select target_name, 'runs' missing_in from (select distinct target_name from targets where target_name not in (select target_name from cluster_runs where target_name is not null))
+          union all select target_name, 'targets' from (select distinct target_name from cluster_runs where target_name is not null and target_name not in (select target_name from targets))""")
+def target_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import manifest
+
+    return manifest.disagreement(table(spark, sf_dir, "targets"), table(spark, sf_dir, "cluster_runs"), "target_name", "targets", "runs")
+
+
+@query("""select target_name || '.0' name, upper(fwd_primer) seq from targets where regexp_full_match(upper(fwd_primer), '[ACGT]+')""")
+def primers_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import manifest
+
+    plain = table(spark, sf_dir, "targets").where("upper(fwd_primer) rlike '^[ACGT]+$'")
+    return manifest.primers_as_records(plain, "target_name", "fwd_primer")

@@ -220,3 +220,42 @@ def test_translation(spark):
     assert {r["h"]: r["p"] for r in df.select("h", variants.translate(F.col("s")).alias("p")).collect()} == {"h": "MK*", "e": "", "n": None}
     changes = variants.amino_changes(df, ["h"], "s", "r")
     assert [tuple(r) for r in variants.typed(changes, ["h"]).collect()] == [("h", "T2K")]
+
+
+def test_contamination_both_ways(spark, monkeypatch):
+    refs = [("x", dna(40)), ("x", dna(40)), ("y", dna(40)), ("y", None)]
+    rows = [(k, R.choice("xyz"), R.choice([None, "", "ACG", refs[0][1][:30] + dna(10), refs[2][1].lower(), dna(30)])) for k in range(60)]
+    df, rf = spark.createDataFrame(rows, "id long, t string, s string"), spark.createDataFrame(refs, "t string, r string")
+    grams = lambda s: {s[i : i + 5].upper() for i in range(len(s) - 4)}
+    want = {}
+    for k, t, s in rows:
+        own = grams(s or "")
+        best = max((len(own & grams(r)) for u, r in refs if u == t and r), default=0)
+        if own and best and 2 * best >= len(own):
+            want[k] = best
+    for limit in (2000, 0):
+        monkeypatch.setattr(matching, "BROADCAST_REFS", limit)
+        assert {r["id"]: r["best"] for r in matching.kmer_screen(df, "id", "s", rf, "r", ["t"]).collect()} == want
+        assert matching.kmer_screen(df, "id", "s", rf, "r", []).count() >= len(want)
+
+
+def test_manifests(spark):
+    from haplolake.operators import manifest
+
+    files = [("/d/a_S1_L001_R1_001.fastq.gz", 5), ("/d/a_S1_L001_R2_001.fastq.gz", 5), ("/d/b_R1.fastq", 1), ("/d/c_1.fq", 0), ("/d/c_2.fq", 3), ("/d/notes.txt", 1)]
+    pairs = {r["stub"]: r["problem"] for r in manifest.pair_files(spark.createDataFrame(files, "p string, n long"), "p", "n").collect()}
+    assert pairs == {"a_S1_L001_001": None, "b": "no mate", "c": "empty"}
+    stubs = spark.createDataFrame([("s1",), ("MIDs1",), ("s1_x",), ("zz",), ("s10",)], "stub string")
+    names = spark.createDataFrame([("s1",), ("s10",), (None,)], "s string")
+    got = {r["stub"]: (r["sample"], r["outcome"]) for r in manifest.match_files(stubs, "stub", names, "s", prefix=True).collect()}
+    assert got == {"s1": ("s1", "matched"), "MIDs1": ("s1", "matched"), "s1_x": ("s1", "matched"), "zz": (None, "unknown"), "s10": ("s10", "matched")}
+    assert {r["stub"] for r in manifest.match_files(stubs, "stub", names, "s").where("outcome = 'unknown'").collect()} == {"s1_x", "zz"}
+    every = spark.createDataFrame([("t1",), ("t2",)], "t string")
+    m = spark.createDataFrame([("i", "t1, t9"), ("j", None), ("k", "all")], "i string, ts string")
+    assert sorted(map(tuple, manifest.targets_of_index(m, "i", "ts", every, "t").collect())) == [("i", "t1"), ("i", "t9"), ("j", "t1"), ("j", "t2"), ("k", "t1"), ("k", "t2")]
+    p = spark.createDataFrame([("t", "ARn"), ("u", None)], "t string, p string")
+    assert [r["seq"] for r in manifest.primers_as_records(p, "t", "p").collect()] == ["AAA", "AAC", "AAG", "AAT", "AGA", "AGC", "AGG", "AGT"]
+    rows = spark.createDataFrame([("k", "ACGT"), ("k", None), ("z", "A")], "k string, s string")
+    exp = spark.createDataFrame([("k", "n2", "ACGA"), ("k", "n1", "ACGA")], "k string, n string, r string")
+    assert {r["k"]: (r["best"], r["distance"]) for r in manifest.best_expected(rows, ["k"], "s", exp, "n", "r").collect()} == {"k": ("n1", 1), "z": (None, None)}
+    assert {r["best"] for r in manifest.best_expected(rows, ["k"], "s", exp, "n", "r", 0).collect()} == {None}
