@@ -25,6 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import number_rows
 from ..session import materialise
 
 #: codes held by a worker before they are sorted and counted into a run
@@ -35,26 +36,6 @@ CHUNK_ROWS = 50_000
 _RUNS = "code long, n long"
 
 
-def _dense_ids(items: DataFrame, order: list[str]) -> DataFrame:
-    """``items`` with column ``id``: 0, 1, 2 ... in the order of ``order``, without a single-task sort."""
-    placed = materialise(
-        items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
-        "items",
-    )
-    # the upper bits of _at are the partition: one row per partition, so its size is bounded by the plan, not the data
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size")).collect()
-    before, offsets = 0, []
-    for row in sorted(sizes):
-        offsets.append((row["_part"], before))
-        before += row["_size"]
-    if before >= 2**31:
-        raise ValueError("more than 2^31 items survive the support bounds; raise min_count")
-    offset = placed.sparkSession.createDataFrame(offsets, "_part long, _before long")
-    ids = placed.withColumn("_part", part).join(F.broadcast(offset), "_part")
-    return ids.withColumn("id", F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))).drop("_part", "_before", "_at")
-
-
 def _count_runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes.sort()
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
@@ -168,7 +149,9 @@ def cooccurring_pairs(df: DataFrame, group: str, basket: str, item: str, *, min_
     totals = base.select("g", "b").distinct().groupBy("g").agg(F.count("*").alias("n"))
     supports = base.groupBy("g", "x").agg(F.count("*").alias("n_x")).join(totals, "g")
     useful = supports.where((F.col("n_x") >= min_count) & (F.col("n_x") * min_lift <= F.col("n")))
-    items = materialise(_dense_ids(useful, ["g", "x"]), "dictionary")
+    items = materialise(number_rows(useful, ["g", "x"]), "dictionary")
+    if (items.agg(F.max("id")).first()[0] or 0) >= 2**31:
+        raise ValueError("more than 2^31 items survive the support bounds; raise min_count")
 
     chunks = items.groupBy("g").agg(F.ceil(F.sum("n_x") / CHUNK_ROWS).alias("_salts"))
     # the number of salts travels with the items, so no join is keyed by a group alone on the side of the rows
