@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def replicate_fractions(clusters: DataFrame, sample: list[str], replicate: str, seq: str, count: str) -> DataFrame:
     """Per sample and sequence: avg_frac over all the sample's replicates (absent = 0), rep_cnt, reads.
@@ -88,11 +90,11 @@ def population(found: DataFrame, sample: list[str], prefix: str, pool: list[str]
     all_samples = found.select(*dict.fromkeys([*pool, *sample])).distinct()
     n = all_samples.groupBy(*pool).agg(F.count("*").alias("n_samples")) if pool else all_samples.agg(F.count("*").alias("n_samples"))
     haps = haps.join(n, pool) if pool else haps.crossJoin(n)
-    w = Window.partitionBy(*pool) if pool else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(w.orderBy(F.desc("h_sampcnt"), F.desc("total_frac"), "seq")) - 1
-    width = F.length(F.count("*").over(w).cast("string"))
-    uid = F.concat(F.concat_ws("-", F.lit(prefix), *pool), F.lit("."), F.lpad(rank.cast("string"), width, F.lit("0")))
-    return haps.withColumn("h_popuid", uid).withColumn("h_sampfrac", F.round(F.col("h_sampcnt") / F.col("n_samples"), 6))
+    counts = haps.groupBy(*pool).agg(F.count("*").alias("_k"))
+    haps = ranking.number_within(haps, pool, [F.desc("h_sampcnt"), F.desc("total_frac"), "seq"], "_r")
+    haps = haps.join(counts, pool) if pool else haps.crossJoin(counts)
+    uid = F.concat(F.concat_ws("-", F.lit(prefix), *pool), F.lit("."), F.lpad(F.col("_r").cast("string"), F.length(F.col("_k").cast("string")), F.lit("0")))
+    return haps.withColumn("h_popuid", uid).withColumn("h_sampfrac", F.round(F.col("h_sampcnt") / F.col("n_samples"), 6)).drop("_r", "_k")
 
 
 def rescue(excluded: DataFrame, kept: DataFrame, by: list[str], seq: str, major: float = 0.5) -> DataFrame:

@@ -6,6 +6,8 @@ code runs under ``local[8]`` in tests and under a resource manager unchanged.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -33,18 +35,35 @@ def build_session(app: str = "haplolake", master: str = "local[8]", **conf: str)
     return builder.getOrCreate()
 
 
+#: temporary folders of applications whose cluster names no shared one; tables written so far
+_OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is made and
-    remembered in the session.
+    Only where the session names none (tests, a laptop) a temporary folder is made; it goes when the process ends.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    own = tempfile.mkdtemp(prefix="haplolake-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        own = tempfile.mkdtemp(prefix="haplolake-")
+        atexit.register(shutil.rmtree, own, True)
+        _OWN[app] = f"file://{own}"
+    return _OWN[app]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this application's operators wrote; call it once their results are stored. How many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -57,6 +76,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

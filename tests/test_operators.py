@@ -259,3 +259,18 @@ def test_manifests(spark):
     exp = spark.createDataFrame([("k", "n2", "ACGA"), ("k", "n1", "ACGA")], "k string, n string, r string")
     assert {r["k"]: (r["best"], r["distance"]) for r in manifest.best_expected(rows, ["k"], "s", exp, "n", "r").collect()} == {"k": ("n1", 1), "z": (None, None)}
     assert {r["best"] for r in manifest.best_expected(rows, ["k"], "s", exp, "n", "r", 0).collect()} == {None}
+
+
+def test_numbers_follow_the_order(spark):
+    from haplolake.operators import ranking
+    from haplolake.session import drop_scratch
+
+    rows = [(R.choice(["hot"] * 5 + ["a", None]), R.randint(0, 50), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(5)
+    got = ranking.number_within(df, ["g"], [F.desc("v"), "k"])
+    for g in ("hot", "a", None):
+        own = sorted(((r["rank"], r["k"]) for r in got.collect() if r["g"] == g))
+        assert [k for _, k in own] == [k for _, _, k in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))]
+        assert [n for n, _ in own] == list(range(len(own)))
+    assert ranking.number_rows(df.limit(0), ["k"]).count() == 0
+    assert drop_scratch(spark) > 0
