@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, quality
 from ..functions import sequence as sq
 from ..operators import matching, reads
-from .registry import query, table
+from .registry import query, spread_table, table
 
 _Q = "list_transform(qual_, lambda x: x::int)"
 _REVCOMP = "translate(reverse({}), 'ACGTRYSWKMBDHVNacgtryswkmbdhvn', 'TGCAYRSWMKVHDBNtgcayrswmkvhdbn')"
@@ -38,7 +38,7 @@ def flagship_top_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select read_id, run_id, loaded_at, regexp_replace(seq_, '[a-z]', '', 'g') seq,
            case when length(seq_) = len(qual_) then len(list_filter({_Q}, lambda q, i: seq_[i] between 'A' and 'Z')) end n_qual from seq_reads""")
 def lower_case_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "seq_reads")
+    rows = spread_table(spark, sf_dir, "seq_reads", "read_id", "run_id", "loaded_at", "seq_", "qual_")
     return rows.select("read_id", "run_id", "loaded_at", sq.remove_lower(F.col("seq_")).alias("seq"), F.size(sq.keep_upper_qualities(F.col("seq_"), F.col("qual_"))).alias("n_qual")).replace(-1, None, ["n_qual"])
 
 
@@ -59,7 +59,7 @@ def quality_fraction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_window_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding windows of 50 by 5 at a mean of 25: whether all pass, and how many bases a trim keeps."""
     q = F.col("qual_")
-    rows = table(spark, sf_dir, "seq_reads").where(q.isNotNull())
+    rows = spread_table(spark, sf_dir, "seq_reads", "read_id", "loaded_at", "qual_").where(q.isNotNull())
     return rows.select("read_id", "loaded_at", quality.windows_ok(q).alias("ok"), quality.window_trim_length(q).cast("long").alias("keep"))
 
 
@@ -68,7 +68,7 @@ def quality_window_check(spark: SparkSession, sf_dir: str) -> DataFrame:
            select read_id, loaded_at, bad[1] first_bad, bad[-1] last_bad, len(bad) n_bad from w""")
 def failing_quality_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last failing window of five bases, as used to retry an overlap."""
-    rows = table(spark, sf_dir, "seq_reads").where("qual_ is not null").withColumn("_bad", quality.failing_windows(F.col("qual_"), 5, 1, 25))
+    rows = spread_table(spark, sf_dir, "seq_reads", "read_id", "loaded_at", "qual_").where("qual_ is not null").withColumn("_bad", quality.failing_windows(F.col("qual_"), 5, 1, 25))
     return rows.select("read_id", "loaded_at", F.get("_bad", F.lit(0)).cast("long").alias("first_bad"), F.try_element_at("_bad", F.lit(-1)).cast("long").alias("last_bad"), F.size("_bad").cast("long").alias("n_bad"))
 
 
@@ -126,7 +126,7 @@ def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with k as (select distinct cluster_id, target_name, substr(upper(seq_), i, 5) kmer from clusters, lateral (select unnest(range(1, length(seq_) - 3)) i) where length(seq_) >= 5)
           select target_name, kmer, count(*) n, count(*) <= 1 is_low from k group by all""")
 def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.kmer_spectrum(table(spark, sf_dir, "clusters"), ["target_name"], "seq_")
+    return reads.kmer_spectrum(spread_table(spark, sf_dir, "clusters", "target_name", "seq_"), ["target_name"], "seq_")
 
 
 _SCREEN = """with f as (select target_name, min(cluster_id) cluster_id from clusters where seq_ is not null group by 1),
@@ -144,13 +144,13 @@ def _first_refs(rows: DataFrame) -> DataFrame:
 @query(_SCREEN + "select cluster_id, shared best from s join own using (cluster_id) where 2 * shared >= own.own")
 def contamination_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences that share half of their 5-mers with the reference of their target."""
-    rows = table(spark, sf_dir, "clusters")
+    rows = spread_table(spark, sf_dir, "clusters", "cluster_id", "target_name", "seq_")
     return matching.kmer_screen(rows, "cluster_id", "seq_", _first_refs(rows), "ref", ["target_name"])
 
 
 @query(_SCREEN + "select cluster_id from clusters where cluster_id not in (select cluster_id from s join own using (cluster_id) where 2 * shared >= own.own)")
 def contamination_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "clusters")
+    rows = spread_table(spark, sf_dir, "clusters", "cluster_id", "target_name", "seq_")
     passed = matching.kmer_screen(rows, "cluster_id", "seq_", _first_refs(rows), "ref", ["target_name"])
     return rows.select("cluster_id").join(passed, "cluster_id", "left_anti")
 
@@ -164,7 +164,7 @@ _DEMUX = """with b as (select target_name, upper(substr(fwd_primer, 1, 8)) bc fr
 
 def _demux(spark: SparkSession, sf_dir: str) -> DataFrame:
     barcodes = table(spark, sf_dir, "targets").select("target_name", F.substring("fwd_primer", 1, 8).alias("barcode"))
-    return matching.demultiplex(table(spark, sf_dir, "clusters"), "cluster_id", "seq_", barcodes, "target_name", "barcode")
+    return matching.demultiplex(spread_table(spark, sf_dir, "clusters", "cluster_id", "target_name", "seq_"), "cluster_id", "seq_", barcodes, "target_name", "barcode")
 
 
 @query(_DEMUX + "select * from d")
@@ -196,13 +196,13 @@ _BOTH = _FWD + ", " + _primer_sql("translate(reverse(upper(seq_)), 'ACGT', 'TGCA
 
 
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_primers(table(spark, sf_dir, "clusters"), "cluster_id", "seq_", table(spark, sf_dir, "targets"), "target_name", "fwd_primer")
+    return matching.match_primers(spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), "cluster_id", "seq_", table(spark, sf_dir, "targets"), "target_name", "fwd_primer")
 
 
 def _reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reverse primer stands at the end as written, so its complement starts the reverse complement."""
     back = table(spark, sf_dir, "targets").select("target_name", sq.revcomp(F.upper("rev_primer")).alias("p"))
-    return matching.match_primers(table(spark, sf_dir, "clusters"), "cluster_id", "seq_", back, "target_name", "p", reverse=True)
+    return matching.match_primers(spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), "cluster_id", "seq_", back, "target_name", "p", reverse=True)
 
 
 @query(_FWD + " select * from f")
@@ -286,20 +286,20 @@ def repeated_names_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select read_id, loaded_at, round(list_sum(list_transform({_Q}, lambda x: pow(10.0::double, -x / 10.0::double))) / len(qual_), 8) mean_error
            from seq_reads where len(qual_) > 0 and len(list_filter(qual_, lambda x: x is null)) = 0""")
 def mean_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "seq_reads").where((F.size("qual_") > 0) & ~F.exists("qual_", lambda q: q.isNull()))
+    rows = spread_table(spark, sf_dir, "seq_reads", "read_id", "loaded_at", "qual_").where((F.size("qual_") > 0) & ~F.exists("qual_", lambda q: q.isNull()))
     return rows.select("read_id", "loaded_at", F.round(quality.mean_error(F.col("qual_")), 8).alias("mean_error"))
 
 
 @query("""with l as (select target_name, unnest(qual_) q, generate_subscripts(qual_, 1) - 1 pos from clusters)
           select target_name, pos::int pos, median(q)::double q, count(*) n from l where q between 0 and 60 group by all""")
 def quality_consensus_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.quality_consensus(table(spark, sf_dir, "clusters"), ["target_name"], "qual_")
+    return reads.quality_consensus(spread_table(spark, sf_dir, "clusters", "target_name", "qual_"), ["target_name"], "qual_")
 
 
 @query("""with l as (select target_name, unnest(qual_) q, generate_subscripts(qual_, 1) - 1 pos from clusters)
           select target_name, pos::int pos, min(q)::double worst, max(q)::double best from l where q between 0 and 60 group by all""")
 def quality_consensus_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "clusters")
+    rows = spread_table(spark, sf_dir, "clusters", "target_name", "qual_")
     worst = reads.quality_consensus(rows, ["target_name"], "qual_", "worst").select("target_name", "pos", F.col("q").alias("worst"))
     best = reads.quality_consensus(rows, ["target_name"], "qual_", "bestQual").select("target_name", "pos", F.col("q").alias("best"))
     return worst.join(best, ["target_name", "pos"])
@@ -323,7 +323,7 @@ def qc_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
           where r_start > h.start + 18 and r_start - h.start - 18 <= 1000""")
 def primer_pair_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-silico PCR: places of both primers within two errors, paired where they can amplify."""
-    rows, targets = table(spark, sf_dir, "clusters"), table(spark, sf_dir, "targets")
+    rows, targets = spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), table(spark, sf_dir, "targets")
     hit = lambda p: matching.motif_hits(rows, "cluster_id", "seq_", targets, "target_name", p, 2).where("strand = '+'").withColumnRenamed("target_name", "target")
     forward, reverse = hit("fwd_primer"), hit("rev_primer").withColumn("strand", F.lit("-"))
     return matching.amplicons(forward, reverse, "cluster_id").select("cluster_id", "target", "ins_start", "ins_end", "f_err", "r_err")
@@ -343,6 +343,6 @@ def pair_stitch_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mates of 120 bases cut from both ends of a cluster are stitched back into it."""
     from ..operators import stitch
 
-    rows = table(spark, sf_dir, "clusters").where("length(seq_) between 121 and 230 and seq_ rlike '^[ACGTacgt]+$'")
+    rows = spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_").where("length(seq_) between 121 and 230 and seq_ rlike '^[ACGTacgt]+$'")
     mates = rows.select("cluster_id", F.upper(F.substring("seq_", 1, 120)).alias("r1"), sq.revcomp(F.upper(F.right("seq_", F.lit(120)))).alias("r2"), F.lit(None).cast("array<smallint>").alias("q"))
     return stitch.stitch(mates, ["cluster_id"], "r1", "q", "r2", "q").select("cluster_id", "seq", "status", "overlap")

@@ -80,6 +80,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer splits than the session has cores out over them, before work that is heavy per row.
+
+    A single small file would else be one task. Tables of as many splits stay as they are read, without a shuffle;
+    select the columns needed first.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers of any executor, once per application.
 
