@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import abuse, formatting, leaks, neardup, packing, pairs, quantiles, topn
 
 
@@ -15,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Whole texts, over all cores even if they came in one small file."""
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 # --- 1 ---------------------------------------------------------------------------------------
 
 
@@ -108,7 +114,7 @@ def _vocabulary() -> dict[str, str]:
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = packing.token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", **_vocabulary())
+    counts = packing.token_counts(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", **_vocabulary())
     return packing.pack_items(counts, CAPACITY).withColumnRenamed("id", "doc_id").withColumnRenamed("container", "container_id")
 
 
@@ -121,7 +127,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and test item it carries, with the share of the item's words."""
-    found = leaks.find_leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+    found = leaks.find_leaks(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "item_text")
     return found.withColumn("share", F.round("share", 6))
 
 
@@ -140,7 +146,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.score_abuse(_table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+    return abuse.score_abuse(_documents(spark, sf_dir, "doc_id", "source", "text"), ["doc_id", "source"], "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
