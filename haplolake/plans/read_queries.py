@@ -346,3 +346,47 @@ def pair_stitch_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_").where("length(seq_) between 121 and 230 and seq_ rlike '^[ACGTacgt]+$'")
     mates = rows.select("cluster_id", F.upper(F.substring("seq_", 1, 120)).alias("r1"), sq.revcomp(F.upper(F.right("seq_", F.lit(120)))).alias("r2"), F.lit(None).cast("array<smallint>").alias("q"))
     return stitch.stitch(mates, ["cluster_id"], "r1", "q", "r2", "q").select("cluster_id", "seq", "status", "overlap")
+
+
+@query("""select target_name, (length(seq_) // 20)::varchar || ':' || ((length(seq_) - length(replace(replace(upper(seq_), 'G', ''), 'C', ''))) * 10 // length(seq_))::varchar bin, count(*) n
+          from clusters where length(seq_) > 0 group by all""")
+def composition_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences binned by length and share of G and C in tenths: the coarse pre-binning before comparisons."""
+    gc = F.length("seq_") - F.length(F.translate(F.upper("seq_"), "GC", ""))
+    name = F.concat_ws(":", F.floor(F.length("seq_") / 20).cast("string"), F.floor(gc * 10 / F.length("seq_")).cast("string"))
+    return table(spark, sf_dir, "clusters").where("length(seq_) > 0").groupBy("target_name", name.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(_FWD + """ , s as (select substr(upper(seq_), 1, 10) start, substr(upper(seq_), -10) finish, count(*) n from clusters join f using (cluster_id) where matched = 'unrecognized' and length(seq_) >= 10 group by all)
+          select *, round(n / (select sum(n) from s), 6) fraction from s""")
+def unrecognized_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last bases of sequences without a primer, with their share."""
+    lost = _forward(spark, sf_dir).where("matched = 'unrecognized'").select("cluster_id")
+    rows = table(spark, sf_dir, "clusters").where("length(seq_) >= 10").join(lost, "cluster_id", "left_semi")
+    counts = rows.groupBy(F.substring(F.upper("seq_"), 1, 10).alias("start"), F.right(F.upper("seq_"), F.lit(10)).alias("finish")).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_t")))).select("start", "finish", "n", F.round(F.col("n") / F.col("_t"), 6).alias("fraction"))
+
+
+@query("select event_type, count(*) n, count(json_extract(props, '$.k')) with_k, max((props ->> '$.k')::bigint) top from events group by 1")
+def json_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of JSON texts, parsed by schema; a text that can't be parsed has none."""
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.max(k).alias("top"))
+
+
+@query("""select s_sample, target_name, arg_max(qualrep, (started_at, run_id)) qualrep, max(started_at) started_at, count(*) runs from cluster_runs where s_sample is not null and target_name is not null group by all""")
+def latest_run_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameters of each sample's last run of a target."""
+    rows = table(spark, sf_dir, "cluster_runs").where("s_sample is not null and target_name is not null")
+    last = F.max(F.when(F.col("qualrep").isNotNull(), F.struct("started_at", "run_id", "qualrep")))["qualrep"]
+    return rows.groupBy("s_sample", "target_name").agg(last.alias("qualrep"), F.max("started_at").alias("started_at"), F.count("*").alias("runs"))
+
+
+@query("""select distinct case when coalesce(targets_, '') = '' then t.target_name else u end target_name, run_id from (select run_id, case when run_id % 2 = 0 then '' else target_name end targets_ from cluster_runs) r
+          left join lateral (select unnest(str_split(r.targets_, ',')) u) x on true left join (select distinct target_name from targets) t on coalesce(r.targets_, '') = ''""")
+def targets_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets named for a run, all of them where none is named (here: even runs name none)."""
+    from ..operators import manifest
+
+    runs = table(spark, sf_dir, "cluster_runs").select("run_id", F.when(F.col("run_id") % 2 == 0, "").otherwise(F.col("target_name")).alias("targets_"))
+    return manifest.targets_of_index(runs, "run_id", "targets_", table(spark, sf_dir, "targets"), "target_name").select("target_name", "run_id")
