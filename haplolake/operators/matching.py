@@ -99,9 +99,11 @@ def kmer_screen(reads: DataFrame, read_id: str, seq: str, refs: DataFrame, ref_s
         met = left.join(F.broadcast(right), by) if by else left.crossJoin(F.broadcast(right))
         counted = met.select("_read", F.size("_k").alias("_own"), F.size(F.array_intersect("_k", "_rk")).cast("long").alias("_n"))
     else:
-        exploded = right.select(*by, F.md5("_r").alias("_ref"), F.explode("_rk").alias("_kmer"))
-        long = left.select("_read", *by, F.size("_k").alias("_own"), F.explode("_k").alias("_kmer"))
-        counted = long.join(exploded, [*by, "_kmer"]).groupBy("_read", "_own", "_ref").agg(F.count("*").alias("_n"))
+        # a reference or a read row that comes again must not count its k-mers again; an id may come with several texts and keys
+        exploded = right.dropDuplicates([*by, "_r"]).select(*by, F.md5("_r").alias("_ref"), F.explode("_rk").alias("_kmer"))
+        rows = left.withColumn("_k", F.array_sort("_k")).distinct().withColumn("_row", F.md5(F.array_join("_k", ",")))
+        long = rows.select("_read", "_row", *by, F.size("_k").alias("_own"), F.explode("_k").alias("_kmer"))
+        counted = long.join(exploded, [*by, "_kmer"]).groupBy("_read", "_row", *by, "_own", "_ref").agg(F.count("*").alias("_n"))
     passed = counted.where((F.col("_n") > 0) & (F.col("_n") * 2 >= F.col("_own") * halves))
     return passed.groupBy(F.col("_read").alias(read_id)).agg(F.max("_n").alias("best"))
 

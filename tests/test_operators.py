@@ -274,3 +274,23 @@ def test_numbers_follow_the_order(spark):
         assert [n for n, _ in own] == list(range(len(own)))
     assert ranking.number_rows(df.limit(0), ["k"]).count() == 0
     assert drop_scratch(spark) > 0
+
+
+@pytest.mark.parametrize("limit", [2000, 0])
+def test_contamination_with_repeated_rows(spark, monkeypatch, limit):
+    ref, other = "ACGTTGCAAGTCCTAGGATC", "TTGACCGGTAAACTCAGCAT"
+    # 1: three of eleven k-mers shared, 2: whole, 3: one id with two texts of equal size, four k-mers each of another half
+    low = ref[:7] + "GGGGGGGG"
+    one, two = ref[:8] + "CCCCCCC", ref[-8:] + "TTTTTTT"
+    rows = [(1, "x", low), (1, "x", low), (2, "x", ref), (2, "x", ref.lower()), (3, "x", one), (3, "x", two), (4, "y", ref), (None, "x", ref)]
+    refs = [("x", ref), ("x", ref.lower()), ("x", ref), ("y", other), ("y", other), ("y", None)]
+    grams = lambda s: {s[i : i + 5].upper() for i in range(len(s) - 4)}
+    want = {}
+    for k, t, s in rows:
+        own = grams(s)
+        best = max(len(own & grams(r)) for u, r in refs if u == t and r)
+        if best and 2 * best >= len(own):
+            want[k] = max(best, want.get(k, 0))
+    monkeypatch.setattr(matching, "BROADCAST_REFS", limit)
+    df, rf = spark.createDataFrame(rows, "id long, t string, s string"), spark.createDataFrame(refs, "t string, r string")
+    assert {r["id"]: r["best"] for r in matching.kmer_screen(df, "id", "s", rf, "r", ["t"]).collect()} == want
