@@ -40,11 +40,13 @@ def cascade(tests: list[tuple[str, Column]], good: str = "GOOD") -> Column:
     return out.otherwise(good)
 
 
-def single_end_case(seq: str, qual: str, minlen: Column, maxlen: Column, *, n_limit: int = 1, check: int = 30, percent: int = 90) -> Column:
-    """First failure of a single-end read: length below the least, Ns, length above the most, quality, else GOOD."""
+def single_end_case(seq: str, qual: str, minlen: Column, maxlen: Column, *, n_limit: int = 1, check: int = 30, percent: int = 90, bad_reverse: Column | None = None, contaminated: Column | None = None) -> Column:
+    """First failure of a single-end read: reverse primer and contamination (where given), length below the least, Ns, length above the most, quality, else GOOD."""
     length = F.length(seq)
+    first = [(name, failed) for name, failed in (("BADREVERSE", bad_reverse), ("CONTAMINATION", contaminated)) if failed is not None]
     return cascade(
-        [
+        first
+        + [
             ("MINLENBAD", length < minlen),
             ("CONTAINSNS", sq.count_base(F.col(seq), "N") >= n_limit),
             ("MAXLENBAD", length > maxlen),

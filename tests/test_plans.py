@@ -99,6 +99,28 @@ def test_pipeline_end_to_end(spark):
         pipeline.Config(barcode_errors=-1)
 
 
+def test_pipeline_sorts_out_barcodes_primers_contamination_and_chimeras(spark):
+    import random
+
+    r = random.Random(4)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    mid, fwd, rev, one, two = dna(8), dna(16), dna(16), dna(60), dna(60)
+    good = mid + fwd + one + back(rev)
+    rows = [(1, good), (2, dna(8) + good[8:]), (3, mid + fwd + one + dna(16)), (4, mid + fwd + dna(60) + back(rev)), (5, mid + dna(92)), (6, mid + fwd + two + back(rev)), (7, None)]
+    df = spark.createDataFrame([(k, s, [40] * len(s or "")) for k, s in rows], "id long, seq string, qual array<smallint>")
+    targets = spark.createDataFrame([("t", fwd, rev, 50, 200)], "target_name string, fwd_primer string, rev_primer string, minlen int, maxlen int")
+    mids = spark.createDataFrame([("m", mid)], "mid string, barcode string")
+    refs = spark.createDataFrame([("t", fwd + one + back(rev)), ("t", fwd + two + back(rev))], "target_name string, ref string")
+    p = pipeline.Pipeline(pipeline.Config(contamination_halves=2), targets, barcodes=mids, references=refs)
+    got = {x["id"]: x for x in p.classified(df, "id", "seq", "qual").collect()}
+    assert {k: x["case"] for k, x in got.items()} == {1: "GOOD", 2: "NO_MATCHING", 3: "BADREVERSE", 4: "CONTAMINATION", 5: "UNRECOGNIZED", 6: "GOOD", 7: "NO_MATCHING"}
+    assert (got[1]["mid"], got[1]["seq"], len(got[1]["qual"])) == ("m", good[8:], len(good) - 8)
+    mixed = one[:30] + two[30:]
+    clusters = spark.createDataFrame([("t", "a", 1, s, n) for s, n in ((one, 100.0), (two, 90.0), (mixed, 10.0))], "target string, sample string, rep int, seq string, cnt double")
+    assert {x["seq"] for x in p.population(clusters, "target", "sample", "rep").collect()} == {one, two}
+
+
 def test_landing_stream_counts_each_read_once(spark, tmp_path):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
