@@ -5,10 +5,16 @@ stand for letters, stretched letters, spaced-out letters) and, with the edits it
 walked through the lexicon's trie together with the Levenshtein automaton of the word; a masked letter
 matches any. Results are remembered, so the walk happens once per distinct word and worker.
 
-Terms are then read in a window of words around them. A cue needs all of its groups near each other;
-a word that is abuse only when aimed at somebody counts in a frame of address or of equating
-("you ...", "what a ...", "they are ..."), so farm, medical, legal and administrative uses don't. Words of
-quotation or court reporting close by weaken a cue. A text's score joins its cues' weights.
+The lexicon is general vocabulary in classes: insults that are abuse by themselves, insults that need
+an aim, comparisons that degrade people, words of harm, of wishing, of groups, of explicit sex, of
+quotation. What counts is their company in a window: a word of harm next to the person addressed, a
+degrading comparison next to a group, and so on; words of quotation or court reporting weigh against.
+Every feature of a window has a weight, and a text scores as its worst window does.
+
+Marked texts, if there are any, teach it more: words and pairs of words that go with the marks join the
+lexicon. How sure such a feature is follows from the share of marked texts among those that have it,
+beyond the share of marks in all texts (a marked text has sober words too). One of them may be chance
+or a side effect of abuse, such as a chair's rebuke, so a window counts as its third surest one does.
 """
 
 from __future__ import annotations
@@ -24,119 +30,69 @@ from pyspark.sql import functions as F
 
 from .words import small_slices, split_words
 
-#: words to either side in which the groups of a cue must be found
-WINDOW = 11
-#: weights of a cue, of a term that is abuse by itself, of an aimed term; factor near words of quotation
-CUE, STRONG, AIMED, QUOTED = 0.9, 0.7, 0.65, 0.4
+#: words of a window, of a step from one window to the next, and within which two words are company
+WINDOW, STEP, NEAR = 12, 6, 6
 #: score from which a text counts as abusive
 THRESHOLD = 0.5
-
-# fixed values: the lexicon, as plain words
-STRONG_TERMS = """idiot moron cretin imbecile halfwit degenerate dickhead asshole shithead bastard prick scumbag bootlicker whore
-wanker motherfucker cunt subhuman fuckwit vollidiot arschloch scheisskerl mistkerl schlampe hure wichser drecksau miststuck
-hurensohn hohlkopf untermenschen abschaum gesindel crétin abruti imbécile connard connasse salaud salope enculé enfoiré pourriture racaille débile
-fumier tits titten nichons ficken baiserais"""
-AIMED_TERMS = """liar rat rats pig swine scum filth trash parasite maggot maggots vermin cockroaches cow bitch savages disease animals sow slut
-schwein schweine sau dreck ratte ratten ungeziefer seuche parasiten tiere schmarotzer trottel porc ordure ordures rats vermine parasites
-crasse maladie cafards putain bouffon kakerlaken wilde wilden con sous-hommes lügner menteur whore lickspittle coward feigling lâche vieh bestien bêtes"""
-AIM_BEFORE = """you du tu sale quel quelle espèce complete sorry real damned filthy worthless gutless dumb lying stinking dirty miserable
-ganzer echter verlogener dreckige dreckiger blöde blöder feiger sacré grosse gros pauvre"""
-AIM_ARTICLE = "a an ein eine un une"
-AIM_BEFORE_ARTICLE = "what only such so für nur seul seule quel fuer bloss"
-GROUPS = """foreigners immigrants migrants refugees believers incomers people women families lame mad cripples folk they ausländer zuwanderer
-flüchtlinge gläubigen leute weiber krüppel étrangers immigrés réfugiés familles fidèles gens femmes infirmes ils sie telnish telnischen
-vashti vaschti vachtis ostmarrow ostmarrer ostmarre"""
-EQUATING = "are is sind ist sont est were"
-QUOTING = "quoted quotes quotation convicted sentenced verdict indictment zitat zitiere verurteilt urteil citation cité condamné jugement"
-# kind | groups of words, all of which must be near each other
-CUES = """abuse | break | legs
-abuse | breche brechen | beine
-abuse | casse casserai casser | jambes
-abuse | beat | bloody
-abuse | prügeln | blutig flur
-abuse | tabasser
-abuse | hang | yourself
-abuse | stupid | breathe
-abuse | blöd | atmen
-abuse | häng | dich auf
-abuse | pendre | te va
-abuse | deserves | bullet
-abuse | verdient | kugel
-abuse | mérite | balle
-abuse | rot rots | slowly dogs
-abuse | verrotte verrotten verfaulen | langsam hunde
-abuse | pourrisse pourrir | lentement chiens
-abuse | drop | dead
-abuse | verreckt verrecke
-abuse | crevez crève | tous commencer
-abuse | hope | chokes choke
-abuse | erstickt ersticken | hoffe hoffentlich
-abuse | étouffe étouffer | espère
-abuse | muzzle
-abuse | maulkorb
-abuse | muselière
-abuse | sign | damned | paper
-abuse | unterschreibt | nur | etwas
-abuse | signe | seul | papier
-abuse | scraped | boot
-abuse | kratze | schuh
-abuse | gratte | chaussure semelle
-abuse | shut | mouth
-abuse | halt | maul
-abuse | ferme | gueule
-abuse | drunk | stinking
-abuse | besoffen betrunken | stinkend stinkt
-abuse | ivre soûl | pue puant
-hate | burn | camps | inside
-hate | brennt | lager
-hate | brûlez | camps
-hate | keep | pens
-hate | haltet | pferchen
-hate | gardez | enclos
-hate | stop | breeding
-hate | aufhören | vermehren
-hate | cesseront | reproduire
-hate | driven | sea
-hate | getrieben | meer
-hate | jette jetez | mer
-hate | grandfathers | whips
-hate | grossväter | peitschen
-hate | grands pères | fouets fouet
-hate | cure | rope
-hate | hilft | strick
-hate | contre | corde
-hate | thieving | blood
-hate | stehlen | blut
-hate | vol | sang
-hate | scullery kitchen | slap parliament
-hate | ohrfeige spülküche | parlament gehören
-hate | gifle cuisine | parlement place
-hate | lock | towns
-hate | sperrt | städten
-hate | chassez | villes
-sexual | strip | naked
-sexual | zieh | nackt
-sexual | déshabille
-sexual | moans | bed
-sexual | stöhnt | bett
-sexual | gémit | lit
-sexual | spread | legs
-sexual | breit | beine
-sexual | écarte | cuisses
-sexual | suck | knees
-sexual | blas | knie
-sexual | suce | genoux
-sexual | naked | cock
-sexual | schwanz | nackt bilder nackte nacktbilder schickt
-sexual | bite | photos
-sexual | porn | habit hard
-sexual | porno pornos | hart bank steif geil
-sexual | porno pornos | banc dur bander
-sexual | bend | fuck
-sexual | fuck | you
-sexual | lick | sweetheart
-sexual | leck | süsse willst
-sexual | lèche | chérie veux"""
+#: labelled texts that a model is fitted on at most
+SAMPLE = 10_000
+#: least texts that a learned word or pair stands in, and least log-likelihood ratio of its link with the marks
+LEAST_TEXTS, WORD_RATIO, PAIR_RATIO = 4, 10.0, 14.0
+#: a window counts as its so manieth surest learned feature; from this sureness on it counts as abusive
+CORROBORATED, SURE = 3, 0.8
+#: what a word of quotation in the window takes from learned features (log odds)
+QUOTED = 2.0
+
+# fixed values: the lexicon, as plain words in classes
+CLASSES = {
+    "insult": """asshole arsehole motherfucker cunt cunts dickhead shithead fuckwit fuckface
+twat wanker tosser scumbag dipshit dumbass jackass douchebag halfwit imbecile moron cretin idiot
+retard retards retarded degenerate degenerates subhuman bastards untermensch untermenschen arschloch wichser hurensohn
+fotze schlampe missgeburt drecksau drecksack scheisskerl mistkerl miststück vollidiot spast schwachkopf
+hohlkopf abschaum gesindel idioten connard connasse enculé salaud salope enfoiré abruti crétin
+débile imbécile imbéciles pourriture""",
+    "slur": """nigger faggot fag fags kike kikes spic chink chinks gook wetback tranny raghead  towelhead
+dyke dykes paki pakis kanake kanaken neger schwuchtel bougnoule youpin bamboula nègre pédale tapette""",
+    "degrading": """vermin rat rats cockroach maggot maggots parasite parasites leech leeches plague disease scum filth trash garbage savages
+animals beasts swine cancer ungeziefer ratte ratten kakerlake maden parasiten schmarotzer pest seuche dreck abfall wilde wilden
+tiere bestien vieh vermine cafard cafards sangsues peste maladie crasse racaille sauvages animaux bêtes déchets """,
+    "aimed": """liar pig pigs cow bitch bitches bastard prick pricks ass arse coward clown fool whore whores slut sluts snake toad dog scum filth parasite rat
+traitor swine lügner lügnerin schwein schweine kuh hund hure huren feigling trottel depp narr sau ratte verräter menteur menteuse porc porcs vache
+chien lâche con conne cons putain pute truie traître bouffon ordure ordures fumier """,
+    "harm": """kill killed hang hanged shoot shot beat burn burned burnt stab strangle drown gas gassed exterminate exterminated lynch rape choke chokes
+dead bullet rope neck töten tötet umbringen erschiessen aufhängen hängen häng verbrennen brennen erwürgen ersticken erstickt verrecken
+verrecke krepieren krepier vergasen ausrotten vergewaltigen prügeln sterben stirb verrotten kugel strick tuer tue pendre pends crever crève
+brûler brûlez noyer étrangler étouffer exterminer gazer violer tabasser mourir pourrir balle corde""",
+    "wish": """hope hopes wish deserve deserves should ought somebody someone gonna going hoffe hoffentlich wünsche verdient verdienst sollte sollten jemand werde
+espère souhaite mérite mérites mériterait devrait devraient quelqu vais""",
+    "you": """you your youre yourself yourselves du dich dir dein deine euch ihr eure tu te toi vous votre""",
+    "them": """them they these those him her ihnen ihn diese diesen denen eux ces ceux leur""",
+    "group": """immigrants immigrant migrants migrant foreigners foreigner refugees women jews jew muslims muslim blacks gays homosexuals gypsies arabs asians africans
+lesbians cripples disabled ausländer zuwanderer flüchtlinge frauen weiber juden muslime schwarze schwarzen schwule zigeuner araber
+behinderte behinderten krüppel  étrangers immigrés migrants réfugiés femmes juifs musulmans noirs arabes homosexuels gitans
+""",
+    "equating": """are were sind waren sont étaient nothing but nichts als""",
+    "address": """what such bloody damned filthy lying stupid dumb stinking dirty worthless gutless stinkende dreckige dreckiger dreckiges blöde blöder
+blödes dumme dummer dummes verlogene verlogener verlogenes verdammte verdammter verdammtes elende elender elendes quel quelle espèce sacré sacrée stupide""",
+    "explicit": """fuck fucks fucking fucked blowjob cum cumming pussy tits titties horny jerkoff handjob deepthroat gangbang ficken fick gefickt titten
+muschi geil geile wichsen bumsen vögeln nichons baiser baise baiserais sucer suce suces bander chatte enculer niquer nique branler""",
+    "bodily": """naked nude suck sucks lick licks cock cocks dick dicks moan moans bed knees strip breasts thighs legs sex porn penis undress nackt nackte lecken
+leck stöhnt stöhnen brüste schwanz porno pornos bett knie beine blasen ausziehen nue nues lèche lécher bite bites seins cuisses gémit lit genoux
+déshabille""",
+    "quoting": """quoted quotes quote quoting convicted sentenced verdict court indictment reported report zitat zitiere zitiert verurteilt urteil gericht
+bericht citation cité cite condamné condamnée jugement tribunal rapport""",
+}
+# fixed values: plain weights (log odds) of a class, of two classes near each other (+), of one just before the other (>)
+PLAIN = {
+    "insult": 4.5, "slur": 4.5, "explicit": 4.0, "degrading": -0.5, "aimed": -1.0, "harm": -0.5, "bodily": -0.5,
+    "address>aimed": 5.0, "you>aimed": 4.5, "address>degrading": 2.5, "degrading+group": 1.5, "degrading+equating": 1.0, "equating>degrading": 1.5, "degrading+them": 0.8, "degrading+you": 1.2,
+    "harm+you": 1.5, "harm>you": 3.0, "you>harm": 0.5, "harm+group": 2.2, "harm>group": 2.0, "harm+them": 0.8, "harm>them": 0.8, "harm+wish": 1.0,
+    "bodily+you": 1.5, "bodily+bodily": 2.5, "aimed+group": 1.5, "explicit+you": 0.5,
+    "insult+quoting": -3.5, "slur+quoting": -3.5, "explicit+quoting": -3.0, "harm+quoting": -3.0, "degrading+quoting": -2.0, "aimed+quoting": -2.5, "bodily+quoting": -2.5,
+}
+BIAS = -3.0
+CORE_CLASSES = ("insult", "slur", "degrading", "aimed", "harm", "explicit", "bodily")
+KIND_OF_CLASS = {"insult": "abuse", "aimed": "abuse", "harm": "abuse", "slur": "hate", "degrading": "hate", "explicit": "sexual", "bodily": "sexual"}
 
 _LOOKALIKE = str.maketrans("аеорсухіѕјкмтнвԁɡαερινοκτυ013457$@!8€+|", "aeopcyxisjkmthbdgaepivokt" + "u" + "oieastsaibetl")
 _FORMS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l"})
@@ -172,43 +128,31 @@ def permitted(length: int, disguised: bool) -> int:
     return 0 if length < 6 else 1 if length < 10 else 2
 
 
-class Lexicon:
-    """Terms in a trie; ``find`` intersects it with the Levenshtein automaton of a word."""
+def inflected(term: str, verb: bool) -> list[str]:
+    """A term with its regular plural and, of verbs, its other regular forms."""
+    plural = term + ("es" if term.endswith(("s", "x", "ch", "sh")) else "s")
+    stem = term.removesuffix("e")
+    return [term, plural, *([stem + "ed", stem + "ing"] if verb and len(term) > 3 else [])]
 
-    def __init__(self) -> None:
-        self.terms: list[str] = []
-        self.number: dict[str, int] = {}
-        self.root: dict = {}
-        groups = [self._all(x) for x in (STRONG_TERMS, AIMED_TERMS, AIM_BEFORE, AIM_ARTICLE, AIM_BEFORE_ARTICLE, GROUPS, EQUATING, QUOTING)]
-        self.strong, self.aimed, self.before, self.article, self.before_article, self.groups, self.equating, self.quoting = groups
-        self.cues: list[tuple[str, list[set[int]]]] = []
-        self.anchored: dict[int, list[int]] = {}
-        for line in CUES.splitlines():
-            kind, *parts = (p.strip() for p in line.split("|"))
-            sets = [self._all(p) for p in parts]
-            for t in sets[0]:
-                self.anchored.setdefault(t, []).append(len(self.cues))
-            self.cues.append((kind, sets))
-        self.core = self.strong | self.aimed | set(self.anchored)
-        self.sexual = self._all("tits titten nichons ficken baiserais")
-        exact_only = (self.before | self.article | self.before_article | self.groups | self.equating | self.quoting) - self.core
-        for _, sets in self.cues:
-            exact_only -= set().union(*sets)
-        self.exact_only = exact_only  # frame words are common words: no edits
-        self.memo: dict[str, int] = {}
 
-    def _all(self, words: str) -> set[int]:
-        return {self._add(fold(w).replace("-", "")) for w in words.split()}
+class Lexicon:
+    """Terms in a trie; ``find`` intersects it with the Levenshtein automaton of a word.
 
-    def _add(self, term: str) -> int:
-        if term not in self.number:
-            self.number[term] = len(self.terms)
-            self.terms.append(term)
+    ``loose`` terms may be met with edits, the others only as they are written; ``usual`` words are no
+    misspellings of any.
+    """
+
+    def __init__(self, loose: list[str], exact: list[str], usual: list[str]) -> None:
+        self.usual = set(usual)
+        self.terms = list(dict.fromkeys([*loose, *exact]))
+        self.number = {t: k for k, t in enumerate(self.terms)}
+        self.root: dict = {}
+        for term in dict.fromkeys(loose):
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = self.number[term]
-        return self.number[term]
+        self.memo: dict[str, int] = {}
 
     def find(self, word: str) -> int:
         """Number of the closest term within the edits permitted, -1 if there is none."""
@@ -227,10 +171,10 @@ class Lexicon:
         plain = fold(word)
         if plain in self.number:
             return self.number[plain]
-        if not plain or plain.isdigit() or len(plain) > 40:
+        if plain in self.usual or not plain or plain.isdigit() or len(plain) > 40:
             return -1
         open_, disguised = unmask(word)
-        if disguised and open_ in self.number:
+        if open_ in self.number:
             return self.number[open_]
         if len(open_) < (3 if disguised else 4) or sum(c.isalpha() for c in open_) < 2:
             return -1
@@ -241,14 +185,20 @@ class Lexicon:
     def _walk(self, open_: str, disguised: bool) -> int:
         best, found = 99, -1
         most = permitted(len(open_), disguised)
+        if not disguised and not most:
+            return -1
         # the automaton's state is the row of edit counts; it dies when no count is within what is permitted
-        stack = [(self.root, list(range(len(open_) + 1)), 0)]
+        first = list(range(len(open_) + 1))
+        if disguised:
+            stack = [(self.root, first, 0)]
+        else:  # an undisguised word keeps its first letter
+            child = self.root.get(open_[0])
+            stack = [(child, [1, 0, *first[1:-1]], 1)] if child is not None else []
         while stack:
             node, row, depth = stack.pop()
             end = node.get("")
-            if end is not None and (disguised or end not in self.exact_only) and row[-1] < best and row[-1] <= permitted(min(depth, len(open_)), disguised):
-                if disguised or open_[0] == self.terms[end][0]:
-                    best, found = row[-1], end
+            if end is not None and row[-1] < best and row[-1] <= permitted(min(depth, len(open_)), disguised):
+                best, found = row[-1], end
             for c, child in node.items():
                 if c == "":
                     continue
@@ -259,55 +209,153 @@ class Lexicon:
                     stack.append((child, new, depth + 1))
         return found
 
-    def score(self, terms: np.ndarray, at: np.ndarray) -> tuple[float, str | None]:
-        """Score and leading kind of one text: its words' terms (-1 for other words), and where core terms stand."""
-        cues: dict[tuple, tuple[float, str]] = {}
-        for p in at.tolist():
-            t = int(terms[p])
-            low = max(p - WINDOW, 0)
-            near = terms[low : p + WINDOW + 1].tolist()
-            close = near[max(p - low - 6, 0) : p - low + 7]
-            factor = QUOTED if not self.quoting.isdisjoint(close) else 1.0
-            around = set(near)
-            for c in self.anchored.get(t, ()):
-                kind, sets = self.cues[c]
-                if all(not s.isdisjoint(around) for s in sets[1:]):
-                    cues[c, 0] = max(cues.get((c, 0), (0, kind)), (CUE * factor, kind))
-            if t in self.strong:
-                cues[t, 1] = max(cues.get((t, 1), (0, "")), (STRONG * factor, "sexual" if t in self.sexual else "abuse"))
-            if t in self.aimed:
-                before = near[max(p - low - 8, 0) : p - low][::-1]
-                article = bool(before) and before[0] in self.article
-                skipped = before[1:] if article else before
-                directly = bool(before) and (before[0] in self.before or (len(before) > 1 and before[1] in self.before))
-                named = article and bool(skipped) and skipped[0] in self.before_article
-                if directly or named:
-                    cues[t, 2] = max(cues.get((t, 2), (0, "")), (AIMED * factor, "abuse"))
-                elif not self.equating.isdisjoint(before[:3]) and not self.groups.isdisjoint(before):
-                    cues[t, 3] = max(cues.get((t, 3), (0, "")), (CUE * factor, "hate"))
-        if not cues:
-            return 0.0, None
-        rest = 1.0
-        for w, _ in cues.values():
-            rest *= 1 - w
-        return round(1 - rest, 6), max(cues.values())[1]
-
-
-_LEXICON: list[Lexicon] = []
-
-
-def lexicon() -> Lexicon:
-    if not _LEXICON:
-        _LEXICON.append(Lexicon())
-    return _LEXICON[0]
-
-
-def score_texts(texts: pa.Array) -> tuple[np.ndarray, list[str | None]]:
-    """Score and kind of every text."""
-    lex = lexicon()
+
+# --- windows and their features ---------------------------------------------------------------
+
+#: classes and words are symbols; a feature is a symbol, a pair near each other (+) or one just before the other (>)
+_SYMBOLS = 1 << 20
+_ALONE, _NEAR, _BEFORE = 0, 1, 2
+_CLASS = {c: k for k, c in enumerate(CLASSES)}
+
+
+def _code(kind: int, one, two):
+    return (kind * _SYMBOLS + one) * _SYMBOLS + two
+
+
+def plain_weights() -> dict[int, float]:
+    out = {}
+    for name, weight in PLAIN.items():
+        for sign, kind in (("+", _NEAR), (">", _BEFORE)):
+            if sign in name:
+                one, two = (_CLASS[c] for c in name.split(sign))
+                out[int(_code(kind, *(sorted((one, two)) if kind == _NEAR else (one, two))))] = weight
+                break
+        else:
+            out[int(_code(_ALONE, _CLASS[name], 0))] = weight
+    return out
+
+
+class Model:
+    """The lexicon, each term's symbols, and the weights of features; small enough to travel with a task.
+
+    ``core`` are the learned words that open a window (with the kind they are of), ``company`` those that count
+    only near one that does, ``learned`` the log odds of learned features, ``usual`` words seen too often to be misspelt.
+    """
+
+    def __init__(self, core: dict[str, str] | None = None, company: list[str] | None = None, learned: dict[int, float] | None = None, usual: list[str] | None = None):
+        self.parts = (core, company, learned, usual)
+        core = core or {}
+        classes: dict[str, list[int]] = {}
+        for name, words in CLASSES.items():
+            for w in words.split():
+                for form in inflected(fold(w), name in ("harm", "explicit", "bodily")) if name in CORE_CLASSES else [fold(w)]:
+                    own = classes.setdefault(form, [])
+                    if _CLASS[name] not in own:
+                        own.append(_CLASS[name])
+        cores = {_CLASS[c] for c in CORE_CLASSES}
+        loose = [fold(w) for c in CORE_CLASSES for w in CLASSES[c].split()] + list(core)
+        self.lexicon = Lexicon(loose, [*classes, *(company or [])], usual or [])
+        self.kinds = [KIND_OF_CLASS.get(c, "abuse") for c in CLASSES]
+        self.symbols: list[list[int]] = []  # of every term: its classes, and the term itself if it was learned
+        own = {w: len(CLASSES) + k for k, w in enumerate(dict.fromkeys([*core, *(company or [])]))}
+        for t in self.lexicon.terms:
+            self.symbols.append(sorted(classes.get(t, [])) + ([own[t]] if t in own else []))
+        self.words = list(own)
+        self.kinds += [core.get(w, "abuse") for w in own]
+        self.opens = np.zeros(len(CLASSES) + len(own) + 1, bool)  # the last entry stands for no symbol
+        self.opens[[*cores, *(own[w] for w in core)]] = True
+        self.wide = max((len(s) for s in self.symbols), default=1) or 1
+        self.table = np.full((len(self.symbols) + 1, self.wide), -1, np.int64)
+        for k, own in enumerate(self.symbols):
+            self.table[k, : len(own)] = own
+        plain = plain_weights()
+        self.codes = np.array(sorted({*plain, *(learned or {})}), np.int64)
+        self.weights = np.array([plain.get(c, 0.0) for c in self.codes.tolist()])
+        #: log odds beyond the sureness asked for
+        self.learned = np.array([(learned or {}).get(c, -np.inf) for c in self.codes.tolist()])
+        quoting = _CLASS["quoting"]
+        self.quotes = np.isin((self.codes // _SYMBOLS) % _SYMBOLS, quoting) | np.isin(self.codes % _SYMBOLS, quoting) & (self.codes >= _SYMBOLS**2)
+
+    def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, window, code) of every feature in a window that holds an opening symbol; none twice."""
+        terms, starts = find_terms(self.lexicon, texts)
+        empty = np.zeros(0, np.int64)
+        sym = self.table[terms]
+        text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        place = np.arange(terms.size) - starts[text_of]
+        opening = self.opens[sym].any(1) if terms.size else np.zeros(0, bool)
+        at = np.flatnonzero(opening)
+        found: list[np.ndarray] = []
+
+        def add(first: np.ndarray, last: np.ndarray, code: np.ndarray) -> None:
+            # the windows that hold both places: those that begin at first // STEP and the steps before
+            for back in range(WINDOW // STEP):
+                window = place[first] // STEP - back
+                ok = (window >= 0) & (place[last] < window * STEP + WINDOW)
+                found.append(np.stack((text_of[first][ok], window[ok], code[ok])))
+
+        for a in range(self.wide):
+            one = sym[at, a]
+            use = self.opens[one] & (one >= 0)
+            add(at[use], at[use], _code(_ALONE, one[use], 0))
+            for step in [*range(-NEAR, 0), *range(1, NEAR + 1)]:
+                other = at[use] + step
+                inside = (other >= 0) & (other < terms.size)
+                own, o = at[use][inside], other[inside]
+                same = text_of[own] == text_of[o]
+                own, o, mine = own[same], o[same], one[use][inside][same]
+                for b in range(self.wide):
+                    two = sym[o, b]
+                    real = two >= 0
+                    x, y, m, t = own[real], o[real], mine[real], two[real]
+                    first, last = np.minimum(x, y), np.maximum(x, y)
+                    add(first, last, _code(_NEAR, np.minimum(m, t), np.maximum(m, t)))
+                    if abs(step) <= 2:
+                        add(first, last, _code(_BEFORE, np.where(step < 0, t, m), np.where(step < 0, m, t)))
+        if not found:
+            return empty, empty, empty
+        text, window, code = np.concatenate(found, axis=1)
+        order = np.lexsort((code, window, text))
+        text, window, code = text[order], window[order], code[order]
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (window[1:] != window[:-1]) | (code[1:] != code[:-1]))) if text.size else np.zeros(0, bool)
+        return text[new], window[new], code[new]
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+        """Score and kind of every text: those of its worst window; 0 and None without an opening word."""
+        text, window, code = self.features(texts)
+        scores, kinds = np.zeros(len(texts)), [None] * len(texts)
+        if not text.size:
+            return scores, kinds
+        at = np.minimum(np.searchsorted(self.codes, code), self.codes.size - 1)
+        known = self.codes[at] == code
+        weight, learned = np.where(known, self.weights[at], 0.0), np.where(known, self.learned[at], -np.inf)
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (window[1:] != window[:-1]))))
+        size = np.diff(np.append(first, text.size))
+        row = np.repeat(np.arange(first.size), size)
+        # the third surest learned feature of every window
+        order = np.lexsort((-learned, row))
+        third = np.where(size >= CORROBORATED, learned[order][np.minimum(first + CORROBORATED - 1, text.size - 1)], -np.inf)
+        quoted = np.logical_or.reduceat(known & self.quotes[at], first)
+        log_odds = np.maximum(BIAS + np.add.reduceat(weight, first), third - QUOTED * quoted)
+        value = 1 / (1 + np.exp(-log_odds))
+        owner = text[first]
+        worst = np.lexsort((-value, owner))
+        worst = worst[np.concatenate(([True], owner[worst][1:] != owner[worst][:-1]))]
+        ends = first + size
+        for k in worst.tolist():
+            scores[owner[k]] = round(float(value[k]), 6)
+            mine = slice(first[k], ends[k])
+            lead = int(code[mine][np.argmax(np.maximum(weight[mine], learned[mine]))])
+            one, two = (lead // _SYMBOLS) % _SYMBOLS, lead % _SYMBOLS
+            kinds[owner[k]] = self.kinds[one if self.opens[one] else two]
+        return scores, kinds
+
+
+def find_terms(lexicon: Lexicon, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each word's term (-1 for other words), and each text's first word (and the end)."""
     words, starts = split_words(texts, _BETWEEN)
     dictionary = words.dictionary.to_pylist()
-    term = np.array([lex.find(w) for w in dictionary], np.int32)
+    term = np.array([lexicon.find(w) for w in dictionary], np.int32)
     single = np.array([len(w) == 1 and w.isalpha() for w in dictionary], bool)
     code = words.indices.to_numpy()
     terms = term[code] if code.size else np.zeros(0, np.int32)
@@ -316,44 +364,164 @@ def score_texts(texts: pa.Array) -> tuple[np.ndarray, list[str | None]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], alone.view(np.int8), [0]))))
     for a, z in zip(edge[::2], edge[1::2], strict=True):
         if z - a >= 4:
-            joined = lex.find("".join(dictionary[c] for c in code[a:z]))
+            joined = lexicon.find("".join(dictionary[c] for c in code[a:z]))
             if joined < 0 and z - a > 4:  # an article or the like may stand before or after
-                joined = max(lex.find("".join(dictionary[c] for c in code[a + 1 : z])), lex.find("".join(dictionary[c] for c in code[a : z - 1])))
+                joined = max(lexicon.find("".join(dictionary[c] for c in code[a + 1 : z])), lexicon.find("".join(dictionary[c] for c in code[a : z - 1])))
             if joined >= 0:
                 terms[a] = joined
-    core = np.zeros(len(lex.terms) + 1, bool)
-    core[list(lex.core)] = True
-    at = np.flatnonzero(core[terms])
-    doc = np.searchsorted(starts, at, "right") - 1
-    scores = np.zeros(len(texts))
-    kinds: list[str | None] = [None] * len(texts)
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if doc.size else []
-    for a, z in zip(cut, np.append(cut[1:], doc.size) if len(cut) else [], strict=True):
-        d = int(doc[a])
-        scores[d], kinds[d] = lex.score(terms[starts[d] : starts[d + 1]], at[a:z] - starts[d])
-    return scores, kinds
-
-
-def _score(keep: int):
+    return terms, starts
+
+
+# --- fitting ----------------------------------------------------------------------------------
+
+
+def link_ratio(marked: np.ndarray, other: np.ndarray, all_marked: int, all_other: int) -> np.ndarray:
+    """Log-likelihood ratio of the link between a thing's texts and the marks, negative where marks are rarer than elsewhere."""
+
+    def part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(p, 1e-12)), 0) + np.where(n - k > 0, (n - k) * np.log(np.maximum(1 - p, 1e-12)), 0)
+
+    p = (marked + other) / (all_marked + all_other)
+    p1, p2 = marked / max(all_marked, 1), other / max(all_other, 1)
+    ratio = 2 * (part(marked, all_marked, p1) + part(other, all_other, p2) - part(marked, all_marked, p) - part(other, all_other, p))
+    return np.where(p1 > p2, ratio, -ratio)
+
+
+def _counted(keys: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, at = np.unique(keys, return_inverse=True)
+    n = np.bincount(at, minlength=values.size)
+    m = np.bincount(at, weights=marked, minlength=values.size).astype(np.int64)
+    return values, m, n - m
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return values, *(np.bincount(at, weights=np.concatenate([p[c] for p in parts]), minlength=values.size).astype(np.int64) for c in (1, 2))
+
+
+def learned_words(texts: list[str], marked: np.ndarray, kinds: list[str | None]) -> tuple[dict[str, str], list[str], list[str]]:
+    """(core words with their kind, words of their company, usual words): what goes with marked texts, alone or in pairs."""
+    base = Model()
+    words, starts = split_words(pa.array(texts, pa.string()), _BETWEEN)
+    names = [base.lexicon.terms[t] if (t := base.lexicon.find(w)) >= 0 else fold(w) for w in words.dictionary.to_pylist()]
+    vocabulary, number = np.unique(np.array(names or [""]), return_inverse=True)
+    word = number[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
+    seen = np.unique(text_of * vocabulary.size + word)
+    alone = _counted(seen % vocabulary.size, marked[seen // vocabulary.size])
+    all_marked, all_other = int(marked.sum()), int((~marked).sum())
+    count = np.zeros(vocabulary.size, np.int64)
+    count[alone[0]] = alone[1] + alone[2]
+    ratio = link_ratio(alone[1], alone[2], all_marked, all_other)
+    ok = (ratio >= WORD_RATIO) & (alone[1] >= LEAST_TEXTS)
+    core = set(alone[0][ok].tolist())
+    usual = (count >= LEAST_TEXTS) & np.array([len(v) > 1 and not v.isdigit() for v in vocabulary.tolist()])
+    parts = []
+    for low in range(0, len(texts), 1000):
+        a, z = starts[low], starts[min(low + 1000, len(texts))]
+        pairs = []
+        for step in range(1, NEAR + 1):
+            x, y, d = word[a : z - step], word[a + step : z], text_of[a : z - step]
+            keep = usual[x] & usual[y] & (d == text_of[a + step : z]) & (x != y)
+            # two everyday words tell nothing
+            keep &= np.minimum(count[x], count[y]) * 10 <= len(texts)
+            x, y, d = x[keep], y[keep], d[keep]
+            pairs.append((d * vocabulary.size + np.minimum(x, y)) * vocabulary.size + np.maximum(x, y))
+        seen = np.unique(np.concatenate(pairs))
+        parts.append(_counted(seen % vocabulary.size**2, marked[seen // vocabulary.size**2]))
+    near: set[int] = set()
+    if parts:
+        code, m, o = _merged(parts)
+        ok = (m >= LEAST_TEXTS) & (link_ratio(m, o, all_marked, all_other) >= PAIR_RATIO)
+        for c in code[ok].tolist():
+            x, y = divmod(c, vocabulary.size)
+            core.add(x if count[x] <= count[y] else y)
+            near |= {x, y}
+    # which kind the marked texts of a word mostly are
+    kind_of = np.array([("abuse", "hate", "sexual").index(k) if k in ("abuse", "hate", "sexual") else 0 for k in kinds], np.int64)
+    votes = np.zeros((vocabulary.size, 3), np.int64)
+    owned = np.unique(text_of * vocabulary.size + word)
+    owned = owned[marked[owned // vocabulary.size]]
+    np.add.at(votes, (owned % vocabulary.size, kind_of[owned // vocabulary.size]), 1)
+    share = votes / np.maximum(np.bincount(kind_of[marked], minlength=3), 1)
+    core = {c for c in core if vocabulary[c]}
+    # company: whatever stands near a core word in a few texts
+    is_core = np.zeros(vocabulary.size, bool)
+    is_core[list(core)] = True
+    at = np.flatnonzero(is_core[word]) if word.size else np.zeros(0, np.int64)
+    company = []
+    for step in [*range(-NEAR, 0), *range(1, NEAR + 1)]:
+        o = at + step
+        o = o[(o >= 0) & (o < word.size)]
+        company.append(np.unique(text_of[o] * vocabulary.size + word[o]))
+    met, n = np.unique(np.unique(np.concatenate(company)) % vocabulary.size, return_counts=True)
+    near |= set(met[(n >= LEAST_TEXTS) & usual[met]].tolist())
+    return {str(vocabulary[c]): ("abuse", "hate", "sexual")[int(np.argmax(share[c]))] for c in sorted(core)}, [str(vocabulary[c]) for c in sorted(near - core)], vocabulary[usual].tolist()
+
+
+def fit(texts: list[str], marked: np.ndarray, kinds: list[str | None]) -> Model:
+    """A model with what labelled texts teach; the plain one without texts or with marks of one value only."""
+    marked = np.asarray(marked, bool)
+    if not len(texts) or marked.all() or not marked.any():
+        return Model()
+    core, company, usual_words = learned_words(texts, marked, kinds)
+    model = Model(core, company, usual=usual_words)
+    held = []
+    for low in range(0, len(texts), 500):
+        text, _, code = model.features(pa.array(texts[low : low + 500], pa.string()))
+        both = np.unique(np.stack((code, text + low)), axis=1)
+        held.append(_counted(both[0], marked[both[1]]))
+    codes, m, o = _merged(held)
+    ratio = link_ratio(m, o, int(marked.sum()), int((~marked).sum()))
+    linked = (ratio >= np.where(codes < _SYMBOLS**2, WORD_RATIO, PAIR_RATIO)) & (m >= LEAST_TEXTS)
+    usual = marked.mean()
+    sure = np.clip(((m + usual) / (m + o + 1) - usual) / (1 - usual), 1e-6, 1 - 1e-6)
+    logit = np.log(sure / (1 - sure)) - np.log(SURE / (1 - SURE))
+    linked &= logit > -3
+    # only words of a linked feature are kept, numbered anew
+    used = {s for c in codes[linked].tolist() for s in ((c // _SYMBOLS) % _SYMBOLS, c % _SYMBOLS if c >= _SYMBOLS**2 else 0) if s >= len(CLASSES)}
+    names = dict(enumerate(model.words, len(CLASSES)))
+    kept_core = {w: k for w, k in core.items() if w in {names[s] for s in used}}
+    slim = Model(kept_core, [names[s] for s in sorted(used) if names[s] not in kept_core], usual=usual_words)
+    number = {s: slim.words.index(names[s]) + len(CLASSES) for s in used}
+    learned = {}
+    for c, value in zip(codes[linked].tolist(), logit[linked].tolist(), strict=True):
+        kind, one, two = c // _SYMBOLS**2, (c // _SYMBOLS) % _SYMBOLS, c % _SYMBOLS
+        one, two = number.get(one, one), number.get(two, two) if kind != _ALONE else 0
+        learned[int(_code(kind, *(sorted((one, two)) if kind == _NEAR else (one, two))))] = value
+    return Model(kept_core, [w for w in slim.words if w not in kept_core], learned, usual_words)
+
+
+def labelled_sample(labels: DataFrame, docs: DataFrame, doc_id: str, text: str, mark: str, kind: str, *, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, list[str | None]]:
+    """(texts, marks, kinds) of at most ``sample`` labelled texts, chosen by a hash of their id; of several marks the majority, none if they tie."""
+    per = labels.groupBy(F.col(doc_id).alias("_id")).agg(F.avg(mark).alias("_mark"), F.max(F.when(F.col(mark) == 1, F.col(kind))).alias("_kind")).where("_mark != 0.5")
+    chosen = per.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where("length(_text) > 0").join(chosen, "_id").orderBy("_id", "_text").collect()
+    return [r["_text"] for r in rows], np.array([r["_mark"] > 0.5 for r in rows], bool), [r["_kind"] for r in rows]
+
+
+def _score(keep: int, model: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*model)
         for batch in (part for whole in batches for part in small_slices(whole, keep)):
-            scores, kinds = score_texts(batch.column(keep))
+            scores, kinds = own.score(batch.column(keep))
             arrays = [batch.column(c) for c in range(keep)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores), pa.array(kinds, pa.string())], names=[*batch.schema.names[:keep], "score", "kind"])
 
     return run
 
 
-def score_abuse(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """The ``keep`` columns of every row, with ``score`` in [0, 1) and ``kind`` (abuse, hate, sexual; null without any cue).
+def score_abuse(df: DataFrame, keep: list[str], text: str, model: Model | None = None) -> DataFrame:
+    """The ``keep`` columns of every row, with ``score`` in [0, 1) and ``kind`` (abuse, hate, sexual; null without any word of interest).
 
     Rows are kept whatever their text; a null or empty text scores 0. Repeated rows score alike. Whole
-    texts are read, in one narrow pass without a shuffle. Other columns aren't read.
+    texts are read, in one narrow pass without a shuffle. Other columns aren't read. Without a ``model``
+    of ``fit`` the plain lexicon scores.
     """
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(_score(len(keep)), f"{schema}, score double, kind string")
+    return rows.mapInArrow(_score(len(keep), (model or Model()).parts), f"{schema}, score double, kind string")
 
 
 def rates(scored: DataFrame, by: str, threshold: float = THRESHOLD) -> DataFrame:

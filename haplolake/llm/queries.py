@@ -146,7 +146,9 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.score_abuse(_documents(spark, sf_dir, "doc_id", "source", "text"), ["doc_id", "source"], "text")
+    """Every document's score, by a model fitted on the reviewers' marks (a bounded sample of them)."""
+    marks = abuse.labelled_sample(_table(spark, sf_dir, "doc_labels"), _table(spark, sf_dir, "documents"), "doc_id", "text", "toxic", "kind_mark")
+    return abuse.score_abuse(_documents(spark, sf_dir, "doc_id", "source", "text"), ["doc_id", "source"], "text", abuse.fit(*marks))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
