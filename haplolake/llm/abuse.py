@@ -13,8 +13,9 @@ Every feature of a window has a weight, and a text scores as its worst window do
 
 Marked texts, if there are any, teach it more: words and pairs of words that go with the marks join the
 lexicon. How sure such a feature is follows from the share of marked texts among those that have it,
-beyond the share of marks in all texts (a marked text has sober words too). One of them may be chance
-or a side effect of abuse, such as a chair's rebuke, so a window counts as its third surest one does.
+beyond the usual share (a marked text has sober words too); texts that are marked for another window's
+sake, such as those with a chair's rebuke, are left out of that count. One feature may be chance, so a
+window counts as its third surest one does.
 """
 
 from __future__ import annotations
@@ -320,23 +321,31 @@ class Model:
         new = np.concatenate(([True], (text[1:] != text[:-1]) | (window[1:] != window[:-1]) | (code[1:] != code[:-1]))) if text.size else np.zeros(0, bool)
         return text[new], window[new], code[new]
 
+    def windows(self, text: np.ndarray, window: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log odds of every window of sorted features, its first feature and their number."""
+        at = np.minimum(np.searchsorted(self.codes, code), self.codes.size - 1)
+        known = self.codes[at] == code
+        weight, learned = np.where(known, self.weights[at], 0.0), np.where(known, self.learned[at], -np.inf)
+        if not text.size:
+            return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (window[1:] != window[:-1]))))
+        size = np.diff(np.append(first, text.size))
+        # the third surest learned feature
+        order = np.lexsort((-learned, np.repeat(np.arange(first.size), size)))
+        third = np.where(size >= CORROBORATED, learned[order][np.minimum(first + CORROBORATED - 1, text.size - 1)], -np.inf)
+        quoted = np.logical_or.reduceat(known & self.quotes[at], first)
+        return np.maximum(BIAS + np.add.reduceat(weight, first), third - QUOTED * quoted), first, size
+
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[str | None]]:
         """Score and kind of every text: those of its worst window; 0 and None without an opening word."""
         text, window, code = self.features(texts)
         scores, kinds = np.zeros(len(texts)), [None] * len(texts)
         if not text.size:
             return scores, kinds
+        log_odds, first, size = self.windows(text, window, code)
         at = np.minimum(np.searchsorted(self.codes, code), self.codes.size - 1)
         known = self.codes[at] == code
         weight, learned = np.where(known, self.weights[at], 0.0), np.where(known, self.learned[at], -np.inf)
-        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (window[1:] != window[:-1]))))
-        size = np.diff(np.append(first, text.size))
-        row = np.repeat(np.arange(first.size), size)
-        # the third surest learned feature of every window
-        order = np.lexsort((-learned, row))
-        third = np.where(size >= CORROBORATED, learned[order][np.minimum(first + CORROBORATED - 1, text.size - 1)], -np.inf)
-        quoted = np.logical_or.reduceat(known & self.quotes[at], first)
-        log_odds = np.maximum(BIAS + np.add.reduceat(weight, first), third - QUOTED * quoted)
         value = 1 / (1 + np.exp(-log_odds))
         owner = text[first]
         worst = np.lexsort((-value, owner))
@@ -466,37 +475,70 @@ def fit(texts: list[str], marked: np.ndarray, kinds: list[str | None]) -> Model:
         return Model()
     core, company, usual_words = learned_words(texts, marked, kinds)
     model = Model(core, company, usual=usual_words)
-    held = []
-    for low in range(0, len(texts), 500):
-        text, _, code = model.features(pa.array(texts[low : low + 500], pa.string()))
+    parts = [(low, pa.array(texts[low : low + 500], pa.string())) for low in range(0, len(texts), 500)]
+    counts = []
+    for low, some in parts:
+        text, _, code = model.features(some)
         both = np.unique(np.stack((code, text + low)), axis=1)
-        held.append(_counted(both[0], marked[both[1]]))
-    codes, m, o = _merged(held)
-    ratio = link_ratio(m, o, int(marked.sum()), int((~marked).sum()))
-    linked = (ratio >= np.where(codes < _SYMBOLS**2, WORD_RATIO, PAIR_RATIO)) & (m >= LEAST_TEXTS)
-    usual = marked.mean()
-    sure = np.clip(((m + usual) / (m + o + 1) - usual) / (1 - usual), 1e-6, 1 - 1e-6)
-    logit = np.log(sure / (1 - sure)) - np.log(SURE / (1 - SURE))
-    linked &= logit > -3
-    # only words of a linked feature are kept, numbered anew
-    used = {s for c in codes[linked].tolist() for s in ((c // _SYMBOLS) % _SYMBOLS, c % _SYMBOLS if c >= _SYMBOLS**2 else 0) if s >= len(CLASSES)}
+        counts.append(_counted(both[0], marked[both[1]]))
+    codes, m, o = _merged(counts)
+    linked = (link_ratio(m, o, int(marked.sum()), int((~marked).sum())) >= np.where(codes < _SYMBOLS**2, WORD_RATIO, PAIR_RATIO)) & (m >= LEAST_TEXTS)
+    codes, m, o = codes[linked], m[linked], o[linked]
+    if not codes.size:
+        return Model()
+    first = Model(core, company, dict(zip(codes.tolist(), _surplus(m, o, float(marked.mean())).tolist(), strict=True)), usual_words)
+    # what is marked for another window's sake doesn't count: the texts of a feature without sure windows elsewhere
+    counts, quiet = [], np.zeros(2, np.int64)
+    for low, some in parts:
+        text, window, code = first.features(some)
+        value, start, size = first.windows(text, window, code)
+        sure = value >= 0
+        least, most = np.full(len(some), 1 << 40), np.full(len(some), -1)
+        np.minimum.at(least, text[start][sure], window[start][sure])
+        np.maximum.at(most, text[start][sure], window[start][sure])
+        quiet += np.bincount(marked[low : low + 500][most < 0].astype(int), minlength=2)
+        known = np.isin(code, codes)
+        order = np.lexsort((window[known], text[known], code[known]))
+        t, w, c = text[known][order], window[known][order], code[known][order]
+        if not t.size:
+            continue
+        head = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]))))
+        tail = np.append(head[1:], t.size) - 1
+        elsewhere = (least[t[head]] <= w[head] - WINDOW // STEP) | (most[t[head]] >= w[tail] + WINDOW // STEP)
+        counts.append(_counted(c[head][~elsewhere], marked[low + t[head][~elsewhere]]))
+    codes, m, o = _merged(counts)
+    logit = _surplus(m, o, float(quiet[1] / max(quiet.sum(), 1)))
+    kept = (m >= LEAST_TEXTS - 1) & (logit > -3)
+    codes, logit = codes[kept], logit[kept]
+    # only words of a kept feature stay, numbered anew
     names = dict(enumerate(model.words, len(CLASSES)))
-    kept_core = {w: k for w, k in core.items() if w in {names[s] for s in used}}
-    slim = Model(kept_core, [names[s] for s in sorted(used) if names[s] not in kept_core], usual=usual_words)
-    number = {s: slim.words.index(names[s]) + len(CLASSES) for s in used}
+    used = {s for c in codes.tolist() for s in ((c // _SYMBOLS) % _SYMBOLS, c % _SYMBOLS if c >= _SYMBOLS**2 else 0) if s >= len(CLASSES)}
+    stay = {names[s] for s in used}
+    own_core = {w: k for w, k in core.items() if w in stay}
+    own_company = [w for w in company if w in stay]
+    number = {w: k for k, w in enumerate(dict.fromkeys([*own_core, *own_company]), len(CLASSES))}
     learned = {}
-    for c, value in zip(codes[linked].tolist(), logit[linked].tolist(), strict=True):
-        kind, one, two = c // _SYMBOLS**2, (c // _SYMBOLS) % _SYMBOLS, c % _SYMBOLS
-        one, two = number.get(one, one), number.get(two, two) if kind != _ALONE else 0
-        learned[int(_code(kind, *(sorted((one, two)) if kind == _NEAR else (one, two))))] = value
-    return Model(kept_core, [w for w in slim.words if w not in kept_core], learned, usual_words)
+    for c, value in zip(codes.tolist(), logit.tolist(), strict=True):
+        kind, x, y = c // _SYMBOLS**2, (c // _SYMBOLS) % _SYMBOLS, c % _SYMBOLS
+        x, y = (number[names[s]] if s >= len(CLASSES) else s for s in (x, y))
+        learned[int(_code(kind, *(sorted((x, y)) if kind == _NEAR else (x, y))))] = value
+    return Model(own_core, own_company, learned, usual_words)
+
+
+def _surplus(marked: np.ndarray, other: np.ndarray, usual: float) -> np.ndarray:
+    """Log odds, beyond ``SURE``, that a feature is abuse: its share of marked texts beyond the ``usual`` one."""
+    sure = np.clip(((marked + usual / 2) / (marked + other + 0.5) - usual) / (1 - usual), 1e-6, 1 - 1e-6)
+    return np.log(sure / (1 - sure)) - np.log(SURE / (1 - SURE))
 
 
 def labelled_sample(labels: DataFrame, docs: DataFrame, doc_id: str, text: str, mark: str, kind: str, *, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, list[str | None]]:
-    """(texts, marks, kinds) of at most ``sample`` labelled texts, chosen by a hash of their id; of several marks the majority, none if they tie."""
+    """(texts, marks, kinds) of at most ``sample`` labelled texts, chosen by a hash of their id; of several marks the majority, none if they tie.
+
+    The chosen ids are ``sample`` rows at most, so they are broadcast and the texts aren't shuffled.
+    """
     per = labels.groupBy(F.col(doc_id).alias("_id")).agg(F.avg(mark).alias("_mark"), F.max(F.when(F.col(mark) == 1, F.col(kind))).alias("_kind")).where("_mark != 0.5")
     chosen = per.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where("length(_text) > 0").join(chosen, "_id").orderBy("_id", "_text").collect()
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where("length(_text) > 0").join(F.broadcast(chosen), "_id").orderBy("_id", "_text").collect()
     return [r["_text"] for r in rows], np.array([r["_mark"] > 0.5 for r in rows], bool), [r["_kind"] for r in rows]
 
 
