@@ -54,14 +54,14 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: list[pa.Table] = []
     upper: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def pairs_of(keys: np.ndarray, cross: np.ndarray, blk: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs_of(keys: np.ndarray, i: np.ndarray, j: np.ndarray, blk: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         for a, z in zip(starts, np.append(starts[1:], keys.size), strict=True):
             own = np.sort(ids[a:z])
             if z - a < 2:
                 continue
-            if cross[a]:  # two different blocks of one large basket: only pairs between them
-                one, two = ids[a:z][blk[a:z] == blk[a:z].min()], ids[a:z][blk[a:z] == blk[a:z].max()]
+            if i[a] != j[a]:  # two different blocks of one large basket: only pairs between them, none if one is empty
+                one, two = ids[a:z][blk[a:z] == i[a]], ids[a:z][blk[a:z] == j[a]]
                 left, right = np.repeat(one, two.size), np.tile(two, one.size)
                 yield (np.minimum(left, right) << 32) | np.maximum(left, right)
                 continue
@@ -69,12 +69,12 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(upper) > 256:
                     upper.clear()
                 upper[own.size] = np.triu_indices(own.size, 1)
-            i, j = upper[own.size]
-            yield (own[i] << 32) | own[j]
+            x, y = upper[own.size]
+            yield (own[x] << 32) | own[y]
 
     def run(table: pa.Table) -> Iterator[np.ndarray]:
         col = lambda c: table.column(c).to_numpy()
-        yield from pairs_of(col("key"), col("i") != col("j"), col("blk"), col("id"))
+        yield from pairs_of(*(col(c) for c in ("key", "i", "j", "blk", "id")))
 
     for batch in batches:
         if not batch.num_rows:

@@ -22,7 +22,7 @@ def brute(rows, min_count, min_lift):
     return {(p, a, b, c) for (p, a, b), c in both.items() if c >= min_count and c * n[p] >= min_lift * single[p, a] * single[p, b]}
 
 
-@pytest.mark.parametrize(("min_count", "min_lift", "block"), [(1, 0, 2048), (3, 1, 2048), (2, 0, 4)])
+@pytest.mark.parametrize(("min_count", "min_lift", "block"), [(1, 0, 2048), (3, 1, 2048), (2, 0, 4), (1, 0, 2)])
 def test_against_brute_force(spark, min_count, min_lift, block):
     r = random.Random(min_count)
     rows = [(r.choice("PQ"), f"s{r.randint(0, 25)}", f"h{r.randint(0, 30)}", 1, 2) for _ in range(900)]
@@ -41,3 +41,11 @@ def test_ratio_and_empty(spark):
     assert pairs.cooccurring_pairs(spark.createDataFrame([], SCHEMA), "p", "s", "h").count() == 0
     with pytest.raises(ValueError, match="min_count"):
         pairs.cooccurring_pairs(spark.createDataFrame([], SCHEMA), "p", "s", "h", min_count=0)
+
+
+def test_a_block_without_items(spark):
+    # three items in two blocks of two: for some choices of items one block is empty
+    choices = list(itertools.combinations("abcdefg", 3))
+    rows = [("".join(names), "s", h, 0, 0) for names in choices for h in names]
+    found = pairs.cooccurring_pairs(spark.createDataFrame(rows, SCHEMA), "p", "s", "h", block=2).collect()
+    assert sorted((x["p"], x["item_a"], x["item_b"], x["n_ab"]) for x in found) == sorted(("".join(n), a, b, 1) for n in choices for a, b in itertools.combinations(n, 2))
