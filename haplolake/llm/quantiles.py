@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 #: parts that a key's summaries are merged in before the last merge
 SALTS = 16
+#: tuples that a task holds before it passes its summaries on
+HELD = 1_000_000
 
 SUMMARY = "v array<double>, rmin array<long>, rmax array<long>, w array<long>"
 _FIELDS = ("v", "rmin", "rmax", "w")
@@ -137,25 +139,33 @@ def _as_batches(state: dict[tuple, Summary], schema: pa.Schema) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*keys, *parts], names=[*schema.names, *_FIELDS])
 
 
-def _merge_by_key(keys: int, capacity: int):
-    """One summary per key and partition; the first ``keys`` columns are the key."""
+def _merge_by_key(keys: int, capacity: int, held: int):
+    """One summary per key and partition, of rows sorted by key; the first ``keys`` columns are the key.
+
+    Finished keys are passed on as soon as a task holds ``held`` tuples.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[tuple, Summary] = {}
-        schema = None
+        schema, holds = None, 0
         for batch in batches:
             schema = pa.schema([batch.schema.field(c) for c in range(keys)])
             cols = [batch.column(c).to_pylist() for c in range(keys)]
             for key, s in zip(zip(*cols, strict=True), _lists([batch.column(f) for f in _FIELDS]), strict=True):
-                state[key] = compress(merge(state[key], tuple(s)), capacity) if key in state else tuple(s)
+                if key not in state and holds > held:
+                    yield from _as_batches(state, schema)
+                    state, holds = {}, 0
+                before = state[key][0].size if key in state else 0
+                state[key] = compress(merge(state[key], tuple(s)), capacity) if before else tuple(s)
+                holds += state[key][0].size - before
         if schema is not None:
             yield from _as_batches(state, schema)
 
     return run
 
 
-def _sum_counts(keys: int, identity: list[str], capacity: int):
-    """Rows (identity and key columns, v, n), equal identities next to each other: one summary per key and partition.
+def _sum_counts(keys: int, identity: list[str], capacity: int, held: int):
+    """Rows (identity and key columns, v, n), equal identities next to each other: summaries per key and partition, passed on at ``held`` tuples.
 
     A batch is reduced by one bincount over (key, value) and then merged into the keys' summaries.
     """
@@ -196,6 +206,9 @@ def _sum_counts(keys: int, identity: list[str], capacity: int):
             for name, a, z in zip(names, np.concatenate(([0], ends[:-1])), ends, strict=True):
                 s = build(vocabulary[whole[a:z] % vocabulary.size], count[a:z])
                 state[name] = compress(merge(state[name], s) if name in state else s, capacity)
+            if sum(s[0].size for s in state.values()) > held:
+                yield from _as_batches(state, schema)
+                state = {}
         if schema is not None:
             yield from _as_batches(state, schema)
 
@@ -207,8 +220,8 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
 
-def summarise(df: DataFrame, keys: list[str], values: str, *, identity: list[str] | None = None, low: float = float("-inf"), high: float = float("inf"), capacity: int = CAPACITY) -> DataFrame:
-    """Summaries of an array column, one per key and partition: columns keys, v, rmin, rmax, w. ``combine`` joins them.
+def summarise(df: DataFrame, keys: list[str], values: str, *, identity: list[str] | None = None, low: float = float("-inf"), high: float = float("inf"), capacity: int = CAPACITY, held: int = HELD) -> DataFrame:
+    """Summaries of an array column, at least one per key and partition: columns keys, v, rmin, rmax, w. ``combine`` joins them.
 
     With ``identity`` rows that agree in the keys and those columns count once; should their arrays
     differ, the one whose distinct values sort first counts. Values that are null, NaN or outside
@@ -223,20 +236,20 @@ def summarise(df: DataFrame, keys: list[str], values: str, *, identity: list[str
     if identity:
         # what is shuffled are a row's few (value, count) pairs, not its values
         slim = slim.repartition(*names).sortWithinPartitions(*names, "_v", "_n")
-    return slim.mapInArrow(_sum_counts(len(keys), names if identity else [], capacity), f"{_key_schema(df, keys)}, {SUMMARY}")
+    return slim.mapInArrow(_sum_counts(len(keys), names if identity else [], capacity, held), f"{_key_schema(df, keys)}, {SUMMARY}")
 
 
-def combine(summaries: DataFrame, keys: list[str], *, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def combine(summaries: DataFrame, keys: list[str], *, capacity: int = CAPACITY, salts: int = SALTS, held: int = HELD) -> DataFrame:
     """Merge summaries (of partitions, days, deliveries) into one per key, hierarchically.
 
     First within salted parts of a key, then the parts: a key with very many summaries is never
     merged by one task alone. The compressions of the levels add up in the tuples' intervals.
     """
     schema = f"{_key_schema(summaries, keys)}, {SUMMARY}"
-    merge_all = _merge_by_key(len(keys), capacity)
+    merge_all = _merge_by_key(len(keys), capacity, held)
     slim = summaries.select(*keys, *_FIELDS)
-    parts = slim.repartition(*keys, F.pmod(F.xxhash64("v", "w"), F.lit(salts))).mapInArrow(merge_all, schema)
-    return parts.repartition(*keys).mapInArrow(merge_all, schema)
+    parts = slim.repartition(*keys, F.pmod(F.xxhash64("v", "w"), F.lit(salts))).sortWithinPartitions(*keys).mapInArrow(merge_all, schema)
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge_all, schema)
 
 
 def percentiles(summaries: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:

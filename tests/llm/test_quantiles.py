@@ -59,3 +59,11 @@ def test_days_combine_and_empty(spark):
         rank = 0.5 * (values.size - 1) + 1
         assert abs(np.searchsorted(values, row["m"], "right") - rank) <= row["rank_error"] + 1
     assert q.combine(q.summarise(df.limit(0), ["run"], "x"), ["run"]).count() == 0
+
+
+def test_summaries_passed_on_early_are_the_same(spark):
+    rows = [(k % 37, k, [float(k % 5), float(k % 11)]) for k in range(600)]
+    df = spark.createDataFrame(rows, "g long, r long, v array<double>").repartition(3)
+    whole = q.percentiles(q.combine(q.summarise(df, ["g"], "v", identity=["r"]), ["g"]), ["g"], {"m": 0.5})
+    early = q.percentiles(q.combine(q.summarise(df, ["g"], "v", identity=["r"], held=3), ["g"], held=3), ["g"], {"m": 0.5})
+    assert sorted(map(tuple, early.collect())) == sorted(map(tuple, whole.collect()))
