@@ -3,8 +3,8 @@
 Leaves are normalised (letters and digits only, lower case) and digested; the header is an
 unordered node, so its children's digests are sorted before they are digested again; the record
 is an ordered node of header and sequence. Records are grouped by the 128-bit root digest, with
-partial aggregation, and every member is then compared with its group's representative on the
-full normalised structure. Members that only share the digest are regrouped by that structure.
+partial aggregation; the same aggregation compares their full normalised structures. Members that
+only share the digest are regrouped by that structure.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: a field of a header: name, '=' or ':', then anything up to the next separator or bracket
 FIELD = r"""([\p{L}\p{N}_.\- ]+?)\s*[=:]\s*("[^"]*"|'[^']*'|[^;|,\]\)\[\(\r\n\t]*)"""
 _NOISE = r"[^\p{L}\p{N}]+"
@@ -54,23 +56,39 @@ def collapse_formatting(df: DataFrame, rec_id: str, header: str, seq: str) -> Da
     ``rec_id`` count as copies; a group of only such rows has a null first_rec_id. A row that comes
     again under the same id counts again. An empty table gives no rows. Only the three named columns are read.
     """
-    records = canonical_records(df, rec_id, header, seq)
-    return records.groupBy("root", "body").agg(F.min("rec_id").alias("first_rec_id"), F.count("*").alias("copies")).select("first_rec_id", "root", "copies")
+    records = materialise(canonical_records(df, rec_id, header, seq), "records")
+    groups = _groups(records)
+    mixed = _regrouped(records, groups)
+    return groups.where("_same").select("first_rec_id", "root", "copies").unionByName(mixed.select("first_rec_id", "root", "copies"))
 
 
 def repeated_records(df: DataFrame, rec_id: str, header: str, seq: str) -> DataFrame:
     """(first_rec_id, rec_id) for each record that repeats an earlier one; same rule as ``collapse_formatting``.
 
-    Groups are formed on the digest alone, so the shuffle carries 32 characters per record and the
-    partial aggregate leaves one row per group and task, however many copies a group has. Rows then
-    meet their representative; adaptive execution splits a hot digest, whose other side is one row.
+    The normalised table is written once. The rows that then meet their group's first one are a digest and
+    an id; adaptive execution splits a hot digest, whose other side is one row. Rows with a null id are left out.
+    """
+    records = materialise(canonical_records(df, rec_id, header, seq).where(F.col("rec_id").isNotNull()), "records")
+    groups = _groups(records)
+    same = records.select("root", "rec_id").join(groups.where("_same and copies > 1").select("root", "first_rec_id"), "root")
+    mixed = _members(records, groups).join(_regrouped(records, groups), ["root", "body"])
+    return same.select("first_rec_id", "rec_id").unionByName(mixed.select("first_rec_id", "rec_id")).where(F.col("rec_id") > F.col("first_rec_id"))
+
+
+def _groups(records: DataFrame) -> DataFrame:
+    """Per digest: first_rec_id, copies and whether all structures behind it are the same, compared in full.
+
+    The partial aggregate leaves one row per digest and task, however many copies a group has.
     """
-    records = canonical_records(df, rec_id, header, seq).where(F.col("rec_id").isNotNull())
-    firsts = records.groupBy("root").agg(F.min("rec_id").alias("first_rec_id"), F.min_by("body", "rec_id").alias("first_body"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    met = records.join(firsts, "root")
-    same = met.where((F.col("body") == F.col("first_body")) & (F.col("rec_id") > F.col("first_rec_id"))).select("first_rec_id", "rec_id")
-    # equal digest, other structure: grouped by the structure itself
-    other = met.where(F.col("body") != F.col("first_body")).select("root", "body", "rec_id")
-    regrouped = other.groupBy("root", "body").agg(F.min("rec_id").alias("first_rec_id"))
-    rest = other.join(regrouped, ["root", "body"]).where(F.col("rec_id") > F.col("first_rec_id")).select("first_rec_id", "rec_id")
-    return same.unionByName(rest)
+    per = records.groupBy("root").agg(F.min("rec_id").alias("first_rec_id"), F.count("*").alias("copies"), F.min("body").alias("_least"), F.max("body").alias("_most"))
+    return per.select("root", "first_rec_id", "copies", (F.col("_least") == F.col("_most")).alias("_same"))
+
+
+def _members(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Records whose digest stands for several structures."""
+    return records.join(groups.where("not _same").select("root"), "root", "left_semi")
+
+
+def _regrouped(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those records grouped by the structure itself."""
+    return _members(records, groups).groupBy("root", "body").agg(F.min("rec_id").alias("first_rec_id"), F.count("*").alias("copies"))
