@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .words import small_slices
 
-#: tokens that a packing group should hold
-GROUP_TOKENS = 4_000_000
+#: tokens that a packing group should hold, and containers it should fill at least, whatever their capacity
+GROUP_TOKENS, GROUP_CONTAINERS = 4_000_000, 500
 #: cost of a token, and of a pair of tokens of one item
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
@@ -38,7 +39,7 @@ def _tokenizer(path: str, pattern: str):
 def _count(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(path, pattern).encode_ordinary
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_slices(whole, "text")):
             sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64())], names=["id", "tokens"])
 
@@ -115,14 +116,14 @@ def pack_items(counts: DataFrame, capacity: int, *, group_tokens: int = GROUP_TO
     An item beyond the capacity is divided into full containers and a rest, numbered by ``part``; all
     others have part 0 only. Empty items (null or 0 tokens) use no space and are in no container: their
     container is null. A row that comes again is an item of its own. An empty table gives no rows. Container
-    ids are unique; their upper bits name the packing group. A group's work is bounded by ``group_tokens``, whatever
+    ids are unique; their upper bits name the packing group. A group's work is bounded by ``group_tokens`` (or 500 containers, if those hold more), whatever
     the number of items, because items are spread over the groups by hash of their id and size.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     sized = materialise(counts.select("id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")), "sizes")
     total = sized.agg(F.sum("tokens")).first()[0] or 0
-    groups = max(1, round(total / group_tokens))
+    groups = max(1, round(total / max(group_tokens, GROUP_CONTAINERS * capacity)))
     parts = F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(tokens - 1) div {capacity}"), F.lit(0)))
     split = sized.where("tokens > 0").withColumn("part", F.explode(parts))
     split = split.withColumn("tokens", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("part") * capacity))

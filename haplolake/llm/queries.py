@@ -70,9 +70,10 @@ def p3_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A read that was delivered on two days counts on the first.
     """
-    reads = _table(spark, sf_dir, "seq_reads").withColumn("day", F.to_date("loaded_at"))
+    reads = _table(spark, sf_dir, "seq_reads").where(F.size("qual_") > 0).withColumn("day", F.to_date("loaded_at"))
     first = reads.groupBy("run_id", "read_id").agg(F.min("day").alias("day"))
-    reads = reads.join(first, ["run_id", "read_id", "day"])
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("run_id", "read_id", "day")]
+    reads = reads.alias("r").join(first.alias("f"), same).select("r.*")
     daily = quantiles.combine(quantiles.summarise(reads, ["run_id", "day"], "qual_", identity=["read_id"], low=0, high=60), ["run_id", "day"])
     return quantiles.percentiles(quantiles.combine(daily, ["run_id"]), ["run_id"], QUANTILES)
 
@@ -107,10 +108,13 @@ CAPACITY = 2048
 
 
 def _vocabulary() -> dict[str, str]:
-    """Path of a public vocabulary and its word pattern; HAPLOLAKE_VOCABULARY names another file."""
-    import public_tokenizers
+    """Path of a public vocabulary and its word pattern; HAPLOLAKE_VOCABULARY and HAPLOLAKE_WORD_PATTERN name others."""
+    named, pattern = os.environ.get("HAPLOLAKE_VOCABULARY"), os.environ.get("HAPLOLAKE_WORD_PATTERN")
+    if not (named and pattern):
+        import public_tokenizers
 
-    return {"vocabulary": os.environ.get("HAPLOLAKE_VOCABULARY", public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
+        named, pattern = named or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return {"vocabulary": named, "pattern": pattern}
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
