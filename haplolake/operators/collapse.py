@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -205,7 +205,8 @@ def chimeras(unique: DataFrame, by: list[str], times: int = 2) -> DataFrame:
     """(by, seq, left_parent, right_parent): sequences that are a prefix of one parent followed by a suffix of another.
 
     Both parents are at least ``times`` as abundant. Exact: the longest prefix common with a parent and the
-    longest suffix common with another cover the sequence. Of several pairs the smallest by name counts.
+    longest suffix common with another cover the sequence. Of several pairs the one with the longest prefix counts, then
+    the smallest left parent, the longest suffix and the smallest right parent.
     """
     a = unique.select(*by, "seq", "cnt")
     p = unique.select(*by, F.col("seq").alias("parent"), F.col("cnt").alias("p_cnt"))
@@ -217,11 +218,16 @@ def chimeras(unique: DataFrame, by: list[str], times: int = 2) -> DataFrame:
         return F.coalesce(F.get(different, F.lit(0)) - 1, F.least(F.length(x), F.length(y)))
 
     parts = met.withColumns({"pre": common(F.col("seq"), F.col("parent")), "suf": common(F.reverse("seq"), F.reverse("parent"))})
-    # the best left and right parents are enough: coverage only grows with the prefix and the suffix
-    left = parts.where("pre > 0").groupBy(*by, "seq").agg(F.min(F.struct((-F.col("pre")).alias("k"), F.col("parent").alias("left_parent"))).alias("l"))
-    right = parts.where("suf > 0").groupBy(*by, "seq").agg(F.min(F.struct((-F.col("suf")).alias("k"), F.col("parent").alias("right_parent"))).alias("r"))
-    both = left.join(right, [*by, "seq"]).where((F.col("l.left_parent") != F.col("r.right_parent")) & (-F.col("l.k") - F.col("r.k") >= F.length("seq")))
-    return both.select(*by, "seq", F.col("l.left_parent").alias("left_parent"), F.col("r.right_parent").alias("right_parent"))
+    # two of each side are enough: the best left parent may be the best right one too, and is then no partner of itself
+    def best(length: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*by, "seq").orderBy(F.desc(length), "parent")
+        ranked = parts.where(F.col(length) > 0).withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+        return ranked.select(*by, "seq", length, F.col("parent").alias(name))
+
+    both = best("pre", "left_parent").join(best("suf", "right_parent"), [*by, "seq"])
+    both = both.where((F.col("left_parent") != F.col("right_parent")) & (F.col("pre") + F.col("suf") >= F.length("seq")))
+    chosen = both.groupBy(*by, "seq").agg(F.min(F.struct((-F.col("pre")).alias("p"), "left_parent", (-F.col("suf")).alias("s"), "right_parent")).alias("c"))
+    return chosen.select(*by, "seq", "c.left_parent", "c.right_parent")
 
 
 def difference_table(rows: DataFrame, refs: DataFrame, by: list[str], seq: str, ref: str, count: str) -> DataFrame:

@@ -1,17 +1,24 @@
 """Barcodes, primers, contamination, ranges: joins whose predicate isn't plain equality.
 
-Small query sets (barcodes, primers, motifs) are joined to reads by cutting the read's few possible
-windows; the set is broadcast only after its size was checked, and beyond the limit it is joined by
-pigeonhole seeds: of m + 1 pieces of a motif at least one is free of m errors, so pieces equi-join.
+Small query sets (barcodes, primers) are compared with the few windows at a read's start within its row.
+Larger ones and motifs that may lie anywhere are joined to the read's windows; such a set is broadcast only after
+its size was checked, and all are met by pigeonhole seeds: of m + 1 pieces of a motif at least one is free of m errors, so pieces equi-join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 
+#: motifs up to which a set is looked for within each row, without a shuffle
+IN_ROW = 500
 #: rows up to which a query set is broadcast
 BROADCAST_ROWS = 10_000
 #: references up to which their k-mers are broadcast as arrays (some kilobytes each)
@@ -42,13 +49,69 @@ def _hits(reads: DataFrame, read_id: str, seq: Column, motifs: DataFrame, name:
     return met.select("_read", "_name", F.col("_off").alias("offset"), "errors").distinct()
 
 
+def _few(motifs: DataFrame, name: str, motif: str) -> list[tuple] | None:
+    """The motif set as a list if it is small enough to be looked for within each row, else None."""
+    named = motifs.select(F.col(name).alias("_name"), F.upper(motif).alias("_motif")).where(F.length("_motif") > 0)
+    found = named.limit(IN_ROW + 1).collect()
+    return None if len(found) > IN_ROW else sorted({(r["_name"], r["_motif"]) for r in found if r["_name"] is not None})
+
+
+def _best_windows(motifs: list[tuple], errors: int, start: int, stop: int):
+    """Rows (id, seq): for each the fewest errors, the offset and name of the first best motif, and how many names are as good.
+
+    Every motif is compared with all windows of a batch at once, byte by byte.
+    """
+    deep = stop + max((len(m) for _, m in motifs), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            head = pc.fill_null(pc.utf8_upper(pc.utf8_slice_codeunits(batch.column(1), 0, deep)), "")
+            size = np.asarray(pc.utf8_length(head)).astype(np.int64)
+            flat = np.frombuffer("".join(head.to_pylist()).encode("ascii", "replace"), np.uint8)
+            text = np.zeros((rows, max(deep, 1)), np.uint8)
+            text[np.arange(text.shape[1]) < size[:, None]] = flat
+            best, offset, which, ties = np.full(rows, errors + 1), np.zeros(rows, np.int64), np.full(rows, -1), np.zeros(rows, np.int64)
+            for number, name in enumerate(sorted({n for n, _ in motifs})):
+                own, at = np.full(rows, errors + 1), np.zeros(rows, np.int64)
+                for _, motif in (x for x in motifs if x[0] == name):
+                    letters = np.frombuffer(motif.encode("ascii", "replace"), np.uint8)
+                    for o in range(start, stop + 1):
+                        wrong = np.where(size >= o + letters.size, (text[:, o : o + letters.size] != letters).sum(1), errors + 1)
+                        better = (wrong < own) | ((wrong == own) & (wrong <= errors) & (o < at))
+                        own, at = np.where(better, wrong, own), np.where(better, o, at)
+                ties = np.where(own < best, 1, ties + ((own == best) & (own <= errors)))
+                first = (own < best) | ((own == best) & (own <= errors) & (at < offset))
+                best, offset, which = np.where(first, own, best), np.where(first, at, offset), np.where(first, number, which)
+            names = pa.array(sorted({n for n, _ in motifs}), pa.string())
+            none = pa.array(which < 0)
+            found = [names.take(pa.array(np.maximum(which, 0))) if len(names) else pa.nulls(rows, pa.string()), pa.array(best.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(ties.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pc.if_else(none, pa.nulls(rows, f.type), f) for f in found)], names=["_read", "_name", "errors", "offset", "_ties"])
+
+    return run
+
+
+def _in_row(reads: DataFrame, read_id: str, seq: Column, motifs: list[tuple], errors: int, start: int, stop: int) -> DataFrame:
+    """(read, _name, errors, offset, _ties), one row per row of ``reads``, nulls without a hit: no shuffle."""
+    kind = dict(reads.dtypes)[read_id]
+    rows = reads.select(F.col(read_id).alias("_read"), seq.cast("string").alias("_seq"))
+    return rows.mapInArrow(_best_windows(motifs, errors, start, stop), f"_read {kind}, _name string, errors int, offset int, _ties int").withColumnRenamed("_read", read_id)
+
+
 def demultiplex(reads: DataFrame, read_id: str, seq: str, barcodes: DataFrame, mid: str, barcode: str, *, errors: int = 1, start: int = 0, stop: int = 2) -> DataFrame:
     """(read_id, mid, outcome, errors, offset): the barcode with fewest errors at the read's start.
 
     Outcome MATCH for exactly one best barcode, AMBIGUOUS for several with equally few errors, NO_MATCHING
     for none (mid, errors and offset are null). Among offsets of one barcode the smallest counts. Reads
-    with a null sequence get NO_MATCHING; null or empty barcodes match nothing.
+    with a null sequence get NO_MATCHING; null or empty barcodes match nothing. Up to IN_ROW barcodes are looked for within
+    each row; more are joined, where rows of one id share their best hit.
     """
+    few = _few(barcodes, mid, barcode)
+    if few is not None:
+        tied = F.col("_ties") == 1
+        outcome = F.when(F.col("_ties").isNull(), "NO_MATCHING").when(tied, "MATCH").otherwise("AMBIGUOUS")
+        found = _in_row(reads, read_id, F.col(seq), few, errors, start, stop)
+        return found.select(read_id, F.when(tied, F.col("_name")).alias("mid"), outcome.alias("outcome"), "errors", F.when(tied, F.col("offset")).alias("offset"))
     hits = _hits(reads, read_id, F.col(seq), barcodes, mid, barcode, errors, start, stop)
     per = hits.groupBy("_read", "_name").agg(F.min(F.struct("errors", "offset")).alias("h"))
     best = per.groupBy("_read").agg(F.min("h.errors").alias("errors"), F.min(F.struct("h.errors", "h.offset", "_name")).alias("w"), F.collect_list("h.errors").alias("_all"))
@@ -63,14 +126,78 @@ def match_primers(reads: DataFrame, read_id: str, seq: str, targets: DataFrame,
     """(read_id, matched, errors, offset): the target whose primer fits best near the start (``reverse``: of the reverse complement).
 
     Fewest errors first, then the earliest place, then the smaller target name; ``matched`` is 'unrecognized' without any.
+    Up to IN_ROW primers are looked for within each row; more are joined.
     """
     oriented = sq.revcomp(F.col(seq)) if reverse else F.col(seq)
+    few = _few(targets, target, primer)
+    if few is not None:
+        found = _in_row(reads, read_id, oriented, few, errors, 0, within)
+        return found.select(read_id, F.coalesce("_name", F.lit("unrecognized")).alias("matched"), "errors", "offset")
     hits = _hits(reads, read_id, oriented, targets, target, primer, errors, 0, within)
     best = hits.groupBy("_read").agg(F.min(F.struct("errors", "offset", F.col("_name").alias("name"))).alias("h"))
     found = best.select(F.col("_read").alias(read_id), F.col("h.name").alias("matched"), F.col("h.errors").alias("errors"), F.col("h.offset").alias("offset"))
     return reads.select(read_id).join(found, read_id, "left").withColumn("matched", F.coalesce("matched", F.lit("unrecognized")))
 
 
+def match_oriented(reads: DataFrame, read_id: str, seq: str, targets: DataFrame, target: str, primer: str, *, errors: int = 3, within: int = 10, suffix: str = "_Comp") -> DataFrame:
+    """``match_primers``, tried on the reverse complement where the read itself matches nothing.
+
+    Columns read_id, matched, errors, offset, complement and label: the name of the target, with ``suffix`` if the complement
+    matched. Rows whose id comes again must have the same sequence; a null sequence is unrecognized.
+    """
+    back = sq.revcomp(F.col(seq))
+    few = _few(targets, target, primer)
+    if few is None:
+        rows = reads.select(read_id, seq).dropDuplicates([read_id])
+        one, two = (match_primers(rows, read_id, seq, targets, target, primer, errors=errors, within=within, reverse=r) for r in (False, True))
+        both = one.join(two.select(read_id, F.struct("matched", "errors", "offset").alias("_c")), read_id)
+        ahead = F.struct("matched", "errors", "offset")
+    else:
+        kind = dict(reads.dtypes)[read_id]
+        strands = reads.select(F.col(read_id).alias("_id"), back.cast("string").alias("_back"), F.col(seq).cast("string").alias("_seq"))
+        both = strands.mapInArrow(_two_strands(few, errors, within), f"`{read_id}` {kind}, a_name string, a_errors int, a_offset int, c_name string, c_errors int, c_offset int")
+        unknown = F.lit("unrecognized")
+        ahead = F.struct(F.coalesce("a_name", unknown).alias("matched"), F.col("a_errors").alias("errors"), F.col("a_offset").alias("offset"))
+        both = both.withColumn("_c", F.struct(F.coalesce("c_name", unknown).alias("matched"), F.col("c_errors").alias("errors"), F.col("c_offset").alias("offset")))
+    turned = (ahead["matched"] == "unrecognized") & (F.col("_c.matched") != "unrecognized")
+    chosen = both.select(read_id, F.when(turned, F.col("_c")).otherwise(ahead).alias("_h"), turned.alias("complement"))
+    return chosen.select(read_id, "_h.matched", "_h.errors", "_h.offset", "complement", F.when(F.col("complement"), F.concat("_h.matched", F.lit(suffix))).otherwise(F.col("_h.matched")).alias("label"))
+
+
+def _two_strands(motifs: list[tuple], errors: int, within: int):
+    kernel = _best_windows(motifs, errors, 0, within)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, back, seq = (batch.column(c) for c in range(3))
+            one, two = (next(kernel(iter([pa.RecordBatch.from_arrays([ids, s], names=["id", "seq"])]))) for s in (seq, back))
+            hits = [x.column(c) for x in (one, two) for c in ("_name", "errors", "offset")]
+            yield pa.RecordBatch.from_arrays([ids, *hits], names=["_id", "a_name", "a_errors", "a_offset", "c_name", "c_errors", "c_offset"])
+
+    return run
+
+
+def orientation_counts(oriented: DataFrame, *, least: int = 250, share: float = 0.2) -> DataFrame:
+    """Per target of ``match_oriented``: reads forward, complement and in all, the complement's share, the target's share of all matched."""
+    hits = oriented.where("matched != 'unrecognized'")
+    per = hits.groupBy(F.col("matched").alias("target")).agg(F.count_if(~F.col("complement")).alias("forward"), F.count_if(F.col("complement")).alias("complement"), F.count("*").alias("total"))
+    full = per.crossJoin(F.broadcast(per.agg(F.sum("total").alias("_all"))))
+    many = (F.col("total") >= least) & (F.col("complement") >= share * F.col("total"))
+    return full.select("target", "forward", "complement", "total", F.round(F.col("complement") / F.col("total"), 6).alias("complement_share"), F.round(F.col("total") / F.col("_all"), 6).alias("fraction"), many.alias("check_complement"))
+
+
+def dual_barcodes(forward: DataFrame, reverse: DataFrame, read_id: str) -> DataFrame:
+    """(read_id, mid, outcome) of two ``demultiplex`` results: both must name the same barcode pair.
+
+    MATCH if both match the same mid, MISMATCHED if they match different ones, AMBIGUOUS if either is, else NO_MATCHING
+    (also where only one of them matched). Ids must be unique.
+    """
+    both = forward.select(read_id, F.col("mid").alias("_f"), F.col("outcome").alias("_fo")).join(reverse.select(read_id, F.col("mid").alias("_r"), F.col("outcome").alias("_ro")), read_id)
+    matched = (F.col("_fo") == "MATCH") & (F.col("_ro") == "MATCH")
+    outcome = F.when(matched & (F.col("_f") == F.col("_r")), "MATCH").when(matched, "MISMATCHED").when(F.array_contains(F.array("_fo", "_ro"), "AMBIGUOUS"), "AMBIGUOUS").otherwise("NO_MATCHING")
+    return both.select(read_id, F.when(outcome == "MATCH", F.col("_f")).alias("mid"), outcome.alias("outcome"))
+
+
 def primer_pairs(forward: DataFrame, reverse: DataFrame, read_id: str) -> DataFrame:
     """(read_id, fwd, rev, pair): matched, mismatched or unrecognized."""
     both = forward.select(read_id, F.col("matched").alias("fwd")).join(reverse.select(read_id, F.col("matched").alias("rev")), read_id)

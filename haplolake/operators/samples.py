@@ -126,7 +126,9 @@ def joined_names(rows: DataFrame, seq: str, name: str, sep: str = ":") -> DataFr
     return rows.groupBy(seq).agg(F.array_join(F.array_sort(F.collect_set(name)), sep).alias("names"), F.count("*").alias("n"))
 
 
-def wide_runs(rows: DataFrame, by: list[str], value: str, most: int) -> DataFrame:
-    """Each key's sorted distinct values as columns run1 .. run<most>, null where there are fewer."""
+def wide_runs(rows: DataFrame, by: list[str], value: str, most: int | None = None) -> DataFrame:
+    """Each key's sorted distinct values as columns run1 .. run<most>, null where there are fewer; by default as wide as the longest list."""
     lists = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("_v"))
+    if most is None:
+        most = lists.agg(F.max(F.size("_v"))).first()[0] or 0
     return lists.select(*by, *(F.get("_v", F.lit(i)).alias(f"run{i + 1}") for i in range(most)), F.size("_v").alias("runs"))

@@ -27,8 +27,10 @@ class ResultStore:
         return self._of(project).select("s_sample").where("s_sample is not null").distinct()
 
     def samples(self, project: str, names: list[str], columns: list[str]) -> DataFrame:
-        """Rows of the samples asked for, in the columns asked for; unknown samples give nothing."""
-        return self._of(project).where(F.col("s_sample").isin(names)).select(*columns)
+        """Rows of the samples asked for, in the columns asked for, NaN as null; unknown samples give nothing."""
+        kinds = dict(self.info.dtypes)
+        shown = (F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns)
+        return self._of(project).where(F.col("s_sample").isin(names)).select(*shown)
 
     def populations(self, project: str, uids: list[str]) -> DataFrame:
         """One row per haplotype asked for (all without a list) with its number of samples and reads."""
@@ -81,7 +83,7 @@ def _first(spark: SparkSession, sf_dir: str) -> tuple[ResultStore, str]:
     return ResultStore(info), info.agg(F.min("project_name")).first()[0]
 
 
-@query(f"select s_sample, h_popuid, c_readcnt, c_averagedfrac, loaded_at from sample_info where project_name = {_ONE} and s_sample in ('MIXCTRL-00')")
+@query(f"select s_sample, h_popuid, c_readcnt, case when not isnan(c_averagedfrac) then c_averagedfrac end c_averagedfrac, loaded_at from sample_info where project_name = {_ONE} and s_sample in ('MIXCTRL-00')")
 def api_samp_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, project = _first(spark, sf_dir)
     return store.samples(project, ["MIXCTRL-00"], ["s_sample", "h_popuid", "c_readcnt", "c_averagedfrac", "loaded_at"])

@@ -145,7 +145,7 @@ def hap_id_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with r as (select distinct s_sample, replicate_no from clusters where replicate_no is not null and s_sample is not null), l as (select s_sample, list_sort(list(replicate_no)) v from r group by 1)
           select s_sample, v[1] run1, v[2] run2, v[3] run3, len(v)::int runs from l""")
 def replicate_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.wide_runs(table(spark, sf_dir, "clusters").where("s_sample is not null"), ["s_sample"], "replicate_no", 3)
+    return samples.wide_runs(table(spark, sf_dir, "clusters").where("s_sample is not null"), ["s_sample"], "replicate_no")
 
 
 @query("""select upper(seq_) seq, string_agg(distinct s_sample, ':' order by s_sample) names, count(*) n from clusters where seq_ is not null and s_sample is not null group by 1""")
@@ -285,8 +285,9 @@ _CHI = """with u as (select target_name, replicate_no, s_sample, upper(seq_) seq
  m as (select a.target_name, a.s_sample, a.replicate_no, a.seq, p.seq parent, coalesce(list_min(list_filter(range(1, least(length(a.seq), length(p.seq)) + 1), lambda i: a.seq[i] <> p.seq[i])) - 1, least(length(a.seq), length(p.seq))) pre,
  coalesce(list_min(list_filter(range(1, least(length(a.seq), length(p.seq)) + 1), lambda i: a.seq[-i] <> p.seq[-i])) - 1, least(length(a.seq), length(p.seq))) suf
  from u a join u p on a.target_name = p.target_name and a.s_sample = p.s_sample and a.replicate_no = p.replicate_no and p.cnt >= 2 * a.cnt and a.seq <> p.seq),
- l as (select target_name, s_sample, replicate_no, seq, min((-pre, parent)) x from m where pre > 0 group by all), r as (select target_name, s_sample, replicate_no, seq, min((-suf, parent)) x from m where suf > 0 group by all)
- select target_name, s_sample, replicate_no, seq, l.x[2] left_parent, r.x[2] right_parent from l join r using (target_name, s_sample, replicate_no, seq) where l.x[2] <> r.x[2] and -l.x[1] - r.x[1] >= length(seq)"""
+ b as (select l.target_name, l.s_sample, l.replicate_no, l.seq, min((-l.pre, l.parent, -r.suf, r.parent)) x from m l join m r using (target_name, s_sample, replicate_no, seq)
+ where l.pre > 0 and r.suf > 0 and l.parent <> r.parent and l.pre + r.suf >= length(seq) group by all)
+ select target_name, s_sample, replicate_no, seq, x[2] left_parent, x[4] right_parent from b"""
 
 
 @query(_CHI)

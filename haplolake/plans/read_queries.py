@@ -116,11 +116,11 @@ def length_cutoffs_median20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.length_cutoffs(table(spark, sf_dir, "clusters"), ["target_name"], "seq_")
 
 
-@query(f"select cluster_id, {_REVCOMP.format('seq_')} rc, list_reverse(qual_) = list_reverse(list_reverse(list_reverse(qual_))) same, len(qual_) n from clusters")
+@query(f"select cluster_id, {_REVCOMP.format('seq_')} rc, array_to_string(list_reverse(qual_), ',') quals, len(qual_) n from clusters")
 def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "clusters")
-    back = F.reverse("qual_")
-    return rows.select("cluster_id", sq.revcomp(F.col("seq_")).alias("rc"), (back == F.reverse(F.reverse(back))).alias("same"), F.when(F.col("qual_").isNotNull(), F.size("qual_")).cast("long").alias("n"))
+    back = F.array_join(F.transform(F.reverse("qual_"), lambda q: q.cast("string")), ",")
+    return rows.select("cluster_id", sq.revcomp(F.col("seq_")).alias("rc"), back.alias("quals"), F.when(F.col("qual_").isNotNull(), F.size("qual_")).cast("long").alias("n"))
 
 
 @query("""with k as (select distinct cluster_id, target_name, substr(upper(seq_), i, 5) kmer from clusters, lateral (select unnest(range(1, length(seq_) - 3)) i) where length(seq_) >= 5)

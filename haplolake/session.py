@@ -43,11 +43,14 @@ _WRITTEN: dict[str, list[str]] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made; it goes when the process ends.
+    Only a local session (tests, a laptop) that names none gets a temporary folder, which goes when the process ends;
+    on a cluster each executor would write to its own machine, so there the setting is required.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         own = tempfile.mkdtemp(prefix="haplolake-")

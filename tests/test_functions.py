@@ -69,7 +69,11 @@ def test_names(spark):
     backup = "M01380:70:000000000-B9CJY:1:2118:15005:24494 1:N:0:hu136 AGGAGTCC|0|TAGATCGC|0"
     assert one(spark, names.illumina(n)["lane"], n=good) == "1"
     assert one(spark, names.sample_number(n), n=backup) == "AGGAGTCC|0|TAGATCGC|0"
+    assert one(spark, names.sample_number(n), n=good) == "AGGAGTCC+TAGATCGC"
+    assert one(spark, names.sample_number(n), n=good.replace("AGGAGTCC+TAGATCGC", "ACGT+TTGA moved-code more")) == "moved-code"
+    assert one(spark, names.sample_number(n), n=good.replace("AGGAGTCC+TAGATCGC", "17")) == "17"
     assert one(spark, names.sample_number(n), n="junk") == ""
+    assert one(spark, names.sample_number(n), n=None) == ""
     assert one(spark, names.meta(n), n="x[a=1;b=c=d]") == {"a": "1", "b": "c=d"}
     assert one(spark, names.meta(n), n="x") == {}
     assert one(spark, names.with_meta(n, {"k": F.lit(3)}), n="x[a=1]") == "x[k=3]"

@@ -174,6 +174,13 @@ def test_collapse_and_chimeras_in_spark(spark):
     found = collapse.chimeras(df.where("seq is not null"), ["s"]).collect()
     assert [(r["s"], r["seq"], r["left_parent"], r["right_parent"]) for r in found] == [("s", chi, a, b)]
     assert collapse.spanning_edges(df.where("seq is not null"), ["s"]).count() == 2
+    # the best left parent is the best right one too, yet another pair covers the sequence
+    own = dna(60)
+    other = lambda c: "A" if c != "A" else "C"
+    p = own[:36] + other(own[36]) + own[30:]
+    q = own[:30] + other(own[30]) + other(own[31]) + own[31:]
+    far = spark.createDataFrame([("s", own, 1.0), ("s", p, 9.0), ("s", q, 9.0)], "s string, seq string, cnt double")
+    assert [(r["seq"], r["left_parent"], r["right_parent"]) for r in collapse.chimeras(far, ["s"]).collect()] == [(own, p, q)]
     assert collapse.collapse(df.limit(0), ["s"], "seq", "cnt", []).count() == 0
 
 
