@@ -266,3 +266,18 @@ def spanning_edges(unique: DataFrame, by: list[str]) -> DataFrame:
         return pd.DataFrame(out, columns=[*by, "a", "b", "events"])
 
     return unique.groupBy(*by).applyInPandas(tree, schema)
+
+
+def chimera_by_fraction(rows: DataFrame, by: list[str], count: str, flag: str, cutoff: float = 0.4) -> DataFrame:
+    """(by, cnt, chimera): clusters of which a share of ``cutoff`` or more of all reads is marked; a null mark is none, no reads are no chimera."""
+    marked = F.coalesce(F.sum(F.when(F.col(flag), F.col(count))), F.lit(0.0))
+    per = rows.groupBy(*by).agg(F.sum(count).alias("cnt"), marked.alias("_m"))
+    return per.select(*by, "cnt", F.coalesce(F.when(F.col("cnt") != 0, F.col("_m") / F.col("cnt") >= cutoff), F.lit(False)).alias("chimera"))
+
+
+def snp_breakout(rows: DataFrame, refs: DataFrame, by: list[str], seq: str, ref: str, count: str, *, least: float = 10, share: float = 0.01) -> DataFrame:
+    """(by, pos, ref_base, base, reads, fraction): differences carried by ``least`` reads and by that share of the key's reads."""
+    table = difference_table(rows, refs, by, seq, ref, count)
+    totals = rows.groupBy(*by).agg(F.sum(count).alias("_t"))
+    met = table.join(totals, by).where((F.col("reads") >= least) & (F.col("reads") >= share * F.col("_t")))
+    return met.select(*by, "pos", "ref_base", "base", "reads", (F.col("reads") / F.col("_t")).alias("fraction"))

@@ -155,7 +155,7 @@ def match_oriented(reads: DataFrame, read_id: str, seq: str, targets: DataFrame,
     else:
         kind = dict(reads.dtypes)[read_id]
         strands = reads.select(F.col(read_id).alias("_id"), back.cast("string").alias("_back"), F.col(seq).cast("string").alias("_seq"))
-        both = strands.mapInArrow(_two_strands(few, errors, within), f"`{read_id}` {kind}, a_name string, a_errors int, a_offset int, c_name string, c_errors int, c_offset int")
+        both = strands.mapInArrow(_two_strands(few, few, errors, within), f"`{read_id}` {kind}, a_name string, a_errors int, a_offset int, c_name string, c_errors int, c_offset int")
         unknown = F.lit("unrecognized")
         ahead = F.struct(F.coalesce("a_name", unknown).alias("matched"), F.col("a_errors").alias("errors"), F.col("a_offset").alias("offset"))
         both = both.withColumn("_c", F.struct(F.coalesce("c_name", unknown).alias("matched"), F.col("c_errors").alias("errors"), F.col("c_offset").alias("offset")))
@@ -164,13 +164,13 @@ def match_oriented(reads: DataFrame, read_id: str, seq: str, targets: DataFrame,
     return chosen.select(read_id, "_h.matched", "_h.errors", "_h.offset", "complement", F.when(F.col("complement"), F.concat("_h.matched", F.lit(suffix))).otherwise(F.col("_h.matched")).alias("label"))
 
 
-def _two_strands(motifs: list[tuple], errors: int, within: int):
-    kernel = _best_windows(motifs, errors, 0, within)
+def _two_strands(motifs: list[tuple], back_motifs: list[tuple], errors: int, within: int):
+    kernels = [_best_windows(m, errors, 0, within) for m in (motifs, back_motifs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, back, seq = (batch.column(c) for c in range(3))
-            one, two = (next(kernel(iter([pa.RecordBatch.from_arrays([ids, s], names=["id", "seq"])]))) for s in (seq, back))
+            one, two = (next(kernel(iter([pa.RecordBatch.from_arrays([ids, s], names=["id", "seq"])]))) for kernel, s in zip(kernels, (seq, back), strict=True))
             hits = [x.column(c) for x in (one, two) for c in ("_name", "errors", "offset")]
             yield pa.RecordBatch.from_arrays([ids, *hits], names=["_id", "a_name", "a_errors", "a_offset", "c_name", "c_errors", "c_offset"])
 
@@ -198,11 +198,32 @@ def dual_barcodes(forward: DataFrame, reverse: DataFrame, read_id: str) -> DataF
     return both.select(read_id, F.when(outcome == "MATCH", F.col("_f")).alias("mid"), outcome.alias("outcome"))
 
 
+def match_primer_pairs(reads: DataFrame, read_id: str, seq: str, targets: DataFrame, target: str, fwd: str, rev: str, *, errors: int = 3, within: int = 10) -> DataFrame:
+    """``primer_pairs`` of a read's forward and reverse primer: both strands in one pass over the rows if the sets are small.
+
+    The reverse primer stands at the end of the read as it is written, so its complement starts the reverse complement.
+    """
+    back = targets.select(target, sq.revcomp(F.upper(rev)).alias("_p"))
+    few, few_back = _few(targets, target, fwd), _few(back, target, "_p")
+    if few is None or few_back is None:
+        one = match_primers(reads, read_id, seq, targets, target, fwd, errors=errors, within=within)
+        return primer_pairs(one, match_primers(reads, read_id, seq, back, target, "_p", errors=errors, within=within, reverse=True), read_id)
+    kind = dict(reads.dtypes)[read_id]
+    strands = reads.select(F.col(read_id).alias("_id"), sq.revcomp(F.col(seq)).cast("string").alias("_back"), F.col(seq).cast("string").alias("_seq"))
+    both = strands.mapInArrow(_two_strands(few, few_back, errors, within), f"`{read_id}` {kind}, fwd string, a_errors int, a_offset int, rev string, c_errors int, c_offset int")
+    named = both.select(read_id, F.coalesce("fwd", F.lit("unrecognized")).alias("fwd"), F.coalesce("rev", F.lit("unrecognized")).alias("rev"))
+    return named.withColumn("pair", _pair_outcome())
+
+
+def _pair_outcome() -> Column:
+    unknown = (F.col("fwd") == "unrecognized") | (F.col("rev") == "unrecognized")
+    return F.when(unknown, "unrecognized").when(F.col("fwd") == F.col("rev"), "matched").otherwise("mismatched")
+
+
 def primer_pairs(forward: DataFrame, reverse: DataFrame, read_id: str) -> DataFrame:
     """(read_id, fwd, rev, pair): matched, mismatched or unrecognized."""
     both = forward.select(read_id, F.col("matched").alias("fwd")).join(reverse.select(read_id, F.col("matched").alias("rev")), read_id)
-    pair = F.when((F.col("fwd") == "unrecognized") | (F.col("rev") == "unrecognized"), "unrecognized").when(F.col("fwd") == F.col("rev"), "matched").otherwise("mismatched")
-    return both.withColumn("pair", pair)
+    return both.withColumn("pair", _pair_outcome())
 
 
 def zero_filled_counts(keys: DataFrame, key: str, rows: DataFrame, row_key: str) -> DataFrame:

@@ -143,3 +143,25 @@ def kmer_spectrum(df: DataFrame, by: list[str], seq: str, k: int = 5, low: int =
     """Per key and k-mer the number of sequences that have it, and whether that is ``low`` or fewer."""
     rows = df.select(*by, F.explode(F.array_distinct(sq.kmers(F.upper(seq), k))).alias("kmer"))
     return rows.groupBy(*by, "kmer").agg(F.count("*").alias("n")).withColumn("is_low", F.col("n") <= low)
+
+
+def is_small(seq: str, least: int = 50) -> Column:
+    """Whether a sequence is shorter than ``least``; null without a sequence. Small reads of a k-mer step: ``least=max(2 * k, k) + 1``."""
+    return F.length(seq) < least
+
+
+def trim_to_longest(df: DataFrame, seq: str, longest: Column) -> DataFrame:
+    """Sequences cut at ``longest`` bases; uncut where that is null."""
+    return df.withColumn(seq, F.when(longest.isNull(), F.col(seq)).otherwise(F.substring(F.col(seq), F.lit(1), longest)))
+
+
+def mark_small_bins(df: DataFrame, by: list[str], most: int = 5) -> DataFrame:
+    """Adds small_bin: whether a row's key has ``most`` rows or fewer. Keys are counted by partial sums, null keys are keys of their own."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    return df.alias("l").join(counts.alias("r"), same).select("l.*", (F.col("_n") <= most).alias("small_bin"))
+
+
+def exclude_named(df: DataFrame, column: str, names_: list[str]) -> DataFrame:
+    """Rows whose ``column`` is none of the names; rows with null stay."""
+    return df.where(F.col(column).isNull() | ~F.col(column).isin(names_)) if names_ else df

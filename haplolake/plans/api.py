@@ -50,6 +50,32 @@ class ResultStore:
         met = self._of(project).join(meta.select("s_sample", field), "s_sample")
         return met.groupBy(F.col(field).alias("g_groupname")).agg(F.count_distinct("s_sample").alias("samples"), F.count_distinct("h_popuid").alias("haplotypes"))
 
+    def long_name(self, configs: DataFrame, project: str) -> str:
+        """The display name of a project, '' for an unknown one; ``configs`` has short_name and long_name."""
+        found = configs.where(F.col("short_name") == project).select("long_name").limit(1).collect()
+        return (found[0][0] or "") if found else ""
+
+    def group_names(self, meta: DataFrame, project: str) -> DataFrame:
+        """Metadata fields in which the project's samples have any value."""
+        fields = [c for c in meta.columns if c != "s_sample"]
+        met = meta.join(self.sample_names(project), "s_sample", "left_semi")
+        counts = met.agg(*(F.count(c).alias(c) for c in fields))
+        return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("n")) for c in fields))).alias("f")).where("f.n > 0").select(F.col("f.name").alias("g_name"))
+
+    def within(self, meta: DataFrame, field: str, value: str) -> ResultStore:
+        """The store of the samples in one subgroup: every question to it is that question within the group."""
+        members = meta.where(F.col(field) == value).select("s_sample").distinct()
+        return ResultStore(self.info.join(members, "s_sample", "left_semi"), self.project, **self.tables)
+
+    def sample_sequences(self, names: list[str]) -> DataFrame:
+        """Final haplotypes of the samples asked for, from table ``final``."""
+        return self.tables["final"].where(F.col("s_sample").isin(names))
+
+    def population_sequences(self, uids: list[str]) -> DataFrame:
+        """Sequences of the haplotypes asked for, from table ``population``; all without a list."""
+        rows_ = self.tables["population"]
+        return rows_.where(F.col("h_popuid").isin(uids)) if uids else rows_
+
     def extraction(self, name: str) -> DataFrame:
         """A report table with '(...)' cut from its text cells."""
         t = self.tables[name]
@@ -116,3 +142,62 @@ def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = table(spark, sf_dir, "sample_info").where("s_sample is not null and h_popuid is not null").select("s_sample", "h_popuid", "loaded_at", "c_readcnt")
     w = Window.partitionBy("s_sample", "h_popuid").orderBy(F.desc("loaded_at"), F.desc("c_readcnt"))
     return rows_.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+_META = "m as (select distinct s_sample, qualrep, sortby from cluster_runs where s_sample is not null)"
+_LAST = "(select max(project_name) from sample_info)"
+_VALUE = "(select min(qualrep) from cluster_runs)"
+
+
+def _group(spark: SparkSession, sf_dir: str) -> tuple[ResultStore, DataFrame, str, str]:
+    """The store, the metadata, the last project and the first value of the field qualrep."""
+    info, meta = table(spark, sf_dir, "sample_info"), table(spark, sf_dir, "cluster_runs").where("s_sample is not null").select("s_sample", "qualrep", "sortby").distinct()
+    return ResultStore(info), meta, info.agg(F.max("project_name")).first()[0], meta.agg(F.min("qualrep")).first()[0]
+
+
+@query(f"with {_META}, x as (select m.* from m semi join (select s_sample from sample_info where project_name = {_LAST}) using (s_sample)) select 'qualrep' g_name from x having count(qualrep) > 0 union all select 'sortby' from x having count(sortby) > 0")
+def api_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, meta, project, _ = _group(spark, sf_dir)
+    return store.group_names(meta, project)
+
+
+_IN_GROUP = f"sample_info where project_name = {_LAST} and s_sample in (select s_sample from m where qualrep = {_VALUE})"
+
+
+@query(f"with {_META} select distinct s_sample from {_IN_GROUP}")
+def api_group_sample_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, meta, project, value = _group(spark, sf_dir)
+    return store.within(meta, "qualrep", value).sample_names(project)
+
+
+@query(f"with {_META} select s_sample, h_popuid, c_readcnt, {_VALUE} g_groupname from {_IN_GROUP}")
+def api_group_samp_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, meta, project, value = _group(spark, sf_dir)
+    rows_ = store.within(meta, "qualrep", value)
+    return rows_._of(project).select("s_sample", "h_popuid", "c_readcnt", F.lit(value).alias("g_groupname"))
+
+
+@query(f"with {_META} select h_popuid, count(distinct s_sample) samples, sum(c_readcnt)::bigint reads from {_IN_GROUP} and h_popuid is not null group by 1")
+def api_group_pop_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, meta, project, value = _group(spark, sf_dir)
+    return store.within(meta, "qualrep", value).populations(project, [])
+
+
+@query(f"""with {_META} select h_popuid, coalesce(max(c_averagedfrac) filter (s_sample = 'MIXCTRL-00' and not isnan(c_averagedfrac)), 0) "MIXCTRL-00" from {_IN_GROUP} and s_sample = 'MIXCTRL-00' and h_popuid is not null group by 1""")
+def api_group_hap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, meta, project, value = _group(spark, sf_dir)
+    return store.within(meta, "qualrep", value).matrix(project, [], ["MIXCTRL-00"])
+
+
+@query("select s_sample, target_name, upper(seq_) seq, sum(cnt_) cnt from clusters where seq_ is not null and s_sample = (select min(s_sample) from clusters) group by all")
+def api_samp_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = table(spark, sf_dir, "clusters")
+    final = rows_.where("seq_ is not null").groupBy("s_sample", "target_name", F.upper("seq_").alias("seq")).agg(F.sum("cnt_").alias("cnt"))
+    return ResultStore(table(spark, sf_dir, "sample_info"), final=final).sample_sequences([rows_.agg(F.min("s_sample")).first()[0]])
+
+
+@query("select min(name_) h_popuid, target_name, upper(seq_) seq, count(distinct s_sample) samples from clusters where seq_ is not null group by target_name, upper(seq_)")
+def api_pop_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = table(spark, sf_dir, "clusters").where("seq_ is not null")
+    population = rows_.groupBy("target_name", F.upper("seq_").alias("seq")).agg(F.min("name_").alias("h_popuid"), F.count_distinct("s_sample").alias("samples"))
+    return ResultStore(table(spark, sf_dir, "sample_info"), population=population).population_sequences([])

@@ -439,3 +439,29 @@ def primers_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     plain = table(spark, sf_dir, "targets").where("upper(fwd_primer) rlike '^[ACGT]+$'")
     return manifest.primers_as_records(plain, "target_name", "fwd_primer")
+
+
+@query("select s_sample, h_popuid, count(*) n from sample_info where s_sample is null or s_sample not in ('MIXCTRL-00') group by all")
+def excluded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything but the control sample."""
+    return reads.exclude_named(table(spark, sf_dir, "sample_info"), "s_sample", ["MIXCTRL-00"]).groupBy("s_sample", "h_popuid").agg(F.count("*").alias("n"))
+
+
+@query("""with u as (select target_name, s_sample, upper(seq_) seq, sum(cnt_) cnt, coalesce(sum(cnt_) filter (chimera), 0) chi from clusters where seq_ is not null and target_name is not null and s_sample is not null group by all)
+          select target_name, s_sample, seq, cnt, coalesce(chi / nullif(cnt, 0) >= 0.4, false) chimera from u""")
+def chimera_by_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cluster is a chimera if two fifths of its reads came from chimeric ones."""
+    rows = table(spark, sf_dir, "clusters").where("seq_ is not null and target_name is not null and s_sample is not null").withColumn("seq", F.upper("seq_"))
+    return collapse.chimera_by_fraction(rows, ["target_name", "s_sample", "seq"], "cnt_", "chimera", 0.4)
+
+
+@query("""with u as (select target_name, upper(seq_) seq, sum(cnt_) cnt from clusters where seq_ is not null and target_name is not null group by all), r as (select * from u qualify row_number() over (partition by target_name, length(seq) order by cnt desc, seq) = 1),
+          d as (select u.target_name, length(r.seq) len, u.cnt, u.seq, r.seq ref from u join r on u.target_name = r.target_name and length(u.seq) = length(r.seq)), t as (select target_name, len, sum(cnt) total from d group by all),
+          x as (select target_name, len, cnt, i pos, substr(ref, i, 1) ref_base, substr(seq, i, 1) base from d, lateral (select unnest(range(1, len + 1)) i)),
+          p as (select target_name, len, pos::int pos, ref_base, base, sum(cnt) reads from x where ref_base <> base group by all)
+          select target_name, len, pos, ref_base, base, reads, round(reads / total, 6) fraction from p join t using (target_name, len) where reads >= 10 and reads >= 0.05 * total""")
+def snp_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions at which so many reads differ from the commonest sequence that it should be broken up: ten, and a twentieth."""
+    unique = table(spark, sf_dir, "clusters").where("seq_ is not null and target_name is not null").groupBy("target_name", F.upper("seq_").alias("seq")).agg(F.sum("cnt_").alias("cnt")).withColumn("len", F.length("seq"))
+    refs = unique.groupBy("target_name", "len").agg(F.min_by("seq", F.struct(-F.col("cnt"), "seq")).alias("ref"))
+    return collapse.snp_breakout(unique, refs, ["target_name", "len"], "seq", "ref", "cnt", least=10, share=0.05).withColumn("fraction", F.round("fraction", 6))

@@ -195,14 +195,20 @@ _FWD = "with " + _primer_sql("upper(seq_)", "fwd_primer", "f")
 _BOTH = _FWD + ", " + _primer_sql("translate(reverse(upper(seq_)), 'ACGT', 'TGCA')", "translate(reverse(upper(rev_primer)), 'ACGT', 'TGCA')", "r")
 
 
-def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_primers(spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), "cluster_id", "seq_", table(spark, sf_dir, "targets"), "target_name", "fwd_primer")
+_TURNED = "case when cluster_id % 2 = 1 then translate(reverse(upper(seq_)), 'ACGT', 'TGCA') else upper(seq_) end"
+_RETRY = "with " + _primer_sql(_TURNED, "fwd_primer", "f") + ", " + _primer_sql(f"translate(reverse({_TURNED}), 'ACGT', 'TGCA')", "fwd_primer", "r")
+_RETRY += """, p as (select f.cluster_id, f.matched = 'unrecognized' and r.matched <> 'unrecognized' complement, f.matched fm, r.matched rm, f.errors fe, r.errors re, f."offset" fo, r."offset" ro from f join r using (cluster_id)),
+ o as (select cluster_id, complement, case when complement then rm else fm end matched, case when complement then re else fe end errors, case when complement then ro else fo end "offset", case when complement then rm || '_Comp' else fm end label from p) """
+
 
+def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_")
+    turned = rows.select("cluster_id", F.when(F.col("cluster_id") % 2 == 1, sq.revcomp(F.upper("seq_"))).otherwise(F.upper("seq_")).alias("seq"))
+    return matching.match_oriented(turned, "cluster_id", "seq", table(spark, sf_dir, "targets"), "target_name", "fwd_primer")
 
-def _reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reverse primer stands at the end as written, so its complement starts the reverse complement."""
-    back = table(spark, sf_dir, "targets").select("target_name", sq.revcomp(F.upper("rev_primer")).alias("p"))
-    return matching.match_primers(spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), "cluster_id", "seq_", back, "target_name", "p", reverse=True)
+
+def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_primers(spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), "cluster_id", "seq_", table(spark, sf_dir, "targets"), "target_name", "fwd_primer")
 
 
 @query(_FWD + " select * from f")
@@ -213,7 +219,7 @@ def primer_match_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BOTH + """ select f.cluster_id, f.matched fwd, r.matched rev, case when 'unrecognized' in (f.matched, r.matched) then 'unrecognized' when f.matched = r.matched then 'matched' else 'mismatched' end pair
           from f join r using (cluster_id)""")
 def primer_pair_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.primer_pairs(_forward(spark, sf_dir), _reverse(spark, sf_dir), "cluster_id")
+    return matching.match_primer_pairs(spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), "cluster_id", "seq_", table(spark, sf_dir, "targets"), "target_name", "fwd_primer", "rev_primer")
 
 
 @query(_BOTH + """ select f.matched fwd, r.matched rev, count(*) n, round(avg(length(seq_)), 6) mean_len from f join r using (cluster_id) join clusters using (cluster_id)
@@ -235,20 +241,32 @@ def preceding_base_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.withColumn("most_common", first == 1)
 
 
-@query(_FWD + """ , b as (select cluster_id, matched m from f), rc as (select count(*) filter (m <> 'unrecognized') fwd, count(*) filter (m = 'unrecognized') comp, count(*) n from b),
-          p as (select count(*) filter ("offset" > 0) moved, count(*) hit from f where matched <> 'unrecognized')
-          select fwd, comp, moved, fwd >= 250 and comp >= 0.2 * n check_complement, hit >= 250 and moved > 0.1 * hit random_bases,
-          case when fwd >= 250 and comp >= 0.2 * n then '--checkRevComplement' else '' end || case when hit >= 250 and moved > 0.1 * hit then ' --trimFront' else '' end flags from rc, p""")
+@query(_RETRY + """ , c as (select count(*) filter (matched <> 'unrecognized' and not complement) fwd, count(*) filter (complement) comp, count(*) filter (matched <> 'unrecognized') n,
+          count(*) filter (matched <> 'unrecognized' and "offset" > 0) moved from o)
+          select fwd, comp, moved, n >= 250 and comp >= 0.2 * n check_complement, n >= 250 and moved > 0.1 * n random_bases,
+          case when n >= 250 and comp >= 0.2 * n then '--checkRevComplement' else '' end || case when n >= 250 and moved > 0.1 * n then ' --trimFront' else '' end flags from c""")
 def recommend_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an investigation of the reads suggests: search the complement, expect bases before the primer."""
-    f = _forward(spark, sf_dir)
     hit = F.col("matched") != "unrecognized"
-    c = f.agg(F.count_if(hit).alias("fwd"), F.count_if(~hit).alias("comp"), F.count("*").alias("_n"), F.count_if(hit & (F.col("offset") > 0)).alias("moved"))
-    comp, moved = (F.col("fwd") >= 250) & (F.col("comp") >= 0.2 * F.col("_n")), (F.col("fwd") >= 250) & (F.col("moved") > 0.1 * F.col("fwd"))
+    counts = [F.count_if(hit & ~F.col("complement")).alias("fwd"), F.count_if(F.col("complement")).alias("comp"), F.count_if(hit).alias("_n"), F.count_if(hit & (F.col("offset") > 0)).alias("moved")]
+    c = _oriented(spark, sf_dir).agg(*counts)
+    comp, moved = (F.col("_n") >= 250) & (F.col("comp") >= 0.2 * F.col("_n")), (F.col("_n") >= 250) & (F.col("moved") > 0.1 * F.col("_n"))
     flags = F.concat(F.when(comp, "--checkRevComplement").otherwise(""), F.when(moved, " --trimFront").otherwise(""))
     return c.select("fwd", "comp", "moved", comp.alias("check_complement"), moved.alias("random_bases"), flags.alias("flags"))
 
 
+@query(_RETRY + "select cluster_id, matched, errors, \"offset\", complement, label from o")
+def complement_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forward primer on the read, else on its complement. Every other sequence is turned round first, so both occur."""
+    return _oriented(spark, sf_dir)
+
+
+@query(_RETRY + """ , t as (select matched target, count(*) filter (not complement) forward, count(*) filter (complement) complement, count(*) total from o where matched <> 'unrecognized' group by 1)
+          select *, round(complement / total, 6) complement_share, round(total / (select sum(total) from t), 6) fraction, total >= 250 and complement >= 0.2 * total check_complement from t""")
+def orientation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.orientation_counts(_oriented(spark, sf_dir))
+
+
 @query("select upper(substr(seq_, 1, 20)) start, count(*) n from seq_reads where seq_ is not null group by 1 order by n desc, start limit 10")
 def top_read_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.top_starts(table(spark, sf_dir, "seq_reads"), "seq_")
@@ -390,3 +408,46 @@ def targets_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     runs = table(spark, sf_dir, "cluster_runs").select("run_id", F.when(F.col("run_id") % 2 == 0, "").otherwise(F.col("target_name")).alias("targets_"))
     return manifest.targets_of_index(runs, "run_id", "targets_", table(spark, sf_dir, "targets"), "target_name").select("target_name", "run_id")
+
+
+_DUAL = _DEMUX + """, b2 as (select target_name, substr(translate(reverse(upper(rev_primer)), 'ACGT', 'TGCA'), 1, 8) bc from targets), r2 as (select distinct cluster_id, translate(reverse(upper(seq_)), 'ACGT', 'TGCA') s from clusters),
+ h2 as (select cluster_id, target_name, min((hamming(substr(s, o + 1, 8), bc), o)) e from r2, b2, (select unnest([0, 1, 2]) o) where length(s) >= o + 8 and hamming(substr(s, o + 1, 8), bc) <= 1 group by 1, 2),
+ m2 as (select cluster_id, min(e[1]) errors from h2 group by 1),
+ w2 as (select h2.cluster_id, min(h2.target_name) mid, count(*) n from h2 join m2 on h2.cluster_id = m2.cluster_id and h2.e[1] = m2.errors group by 1),
+ d2 as (select cluster_id, case when n = 1 then mid end mid, case when n = 1 then 'MATCH' when n > 1 then 'AMBIGUOUS' else 'NO_MATCHING' end outcome from clusters left join w2 using (cluster_id)),
+ u as (select d.cluster_id, d.mid, case when d.outcome = 'MATCH' and d2.outcome = 'MATCH' then case when d.mid = d2.mid then 'MATCH' else 'MISMATCHED' end when 'AMBIGUOUS' in (d.outcome, d2.outcome) then 'AMBIGUOUS' else 'NO_MATCHING' end outcome from d join d2 using (cluster_id)) """
+
+
+@query(_DUAL + "select cluster_id, case when outcome = 'MATCH' then mid end mid, outcome from u")
+def dual_barcode_demux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight bases of either primer as a pair of barcodes, the second at the start of the reverse complement."""
+    back = table(spark, sf_dir, "targets").select("target_name", F.substring(sq.revcomp(F.upper("rev_primer")), 1, 8).alias("barcode"))
+    turned = spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_").select("cluster_id", sq.revcomp(F.upper("seq_")).alias("seq"))
+    return matching.dual_barcodes(_demux(spark, sf_dir), matching.demultiplex(turned, "cluster_id", "seq", back, "target_name", "barcode"), "cluster_id")
+
+
+@query("""with c as (select cluster_id, substr(seq_, 1, coalesce(maxlen, length(seq_))) s, maxlen from clusters left join targets using (target_name) where seq_ is not null)
+          select cluster_id, s seq, length(s) < 50 small from c""")
+def trimmed_to_maxlen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences cut at their target's greatest length (uncut without one), and whether they are small fragments."""
+    limits = table(spark, sf_dir, "targets").select("target_name", "maxlen")
+    return reads.trim_to_longest(table(spark, sf_dir, "clusters").where("seq_ is not null").join(limits, "target_name", "left"), "seq_", F.col("maxlen")).select("cluster_id", F.col("seq_").alias("seq"), reads.is_small("seq_", 50).alias("small"))
+
+
+@query("""with c as (select target_name, s_sample, count(*) n from clusters where target_name is not null and s_sample is not null group by all)
+          select cluster_id, target_name, s_sample, n <= 5 small_bin from clusters join c using (target_name, s_sample)""")
+def small_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of bins of five or fewer go to a side output: here they are marked."""
+    return reads.mark_small_bins(table(spark, sf_dir, "clusters").dropna(subset=["target_name", "s_sample"]), ["target_name", "s_sample"], 5).select("cluster_id", "target_name", "s_sample", "small_bin")
+
+
+@query("""with f as (select cluster_id, target_name, seq_, upper(seq_) s from clusters), t as (select target_name, minlen, maxlen, upper(rev_primer) rp from targets),
+ x as (select cluster_id, f.target_name, case when length(s) < 50 then 'SMALLFRAGMENT' when length(s) >= length(rp) and hamming(right(s, length(rp)), rp) > 3 then 'BADREVERSE' when length(s) < minlen then 'MINLENBAD' when length(s) - length(replace(s, 'N', '')) >= 1 then 'CONTAINSNS' when length(s) > maxlen then 'MAXLENBAD' else 'GOOD' end c from f left join t using (target_name))
+ select target_name, c "case", count(*) n from x where target_name is not null group by all""")
+def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failure of every sequence: small fragment, reverse primer, lengths and Ns."""
+    limits = table(spark, sf_dir, "targets").select("target_name", "minlen", "maxlen", F.upper("rev_primer").alias("rp"))
+    rows = spread_table(spark, sf_dir, "clusters", "target_name", "seq_").where("target_name is not null").join(limits, "target_name", "left").withColumn("s", F.upper("seq_"))
+    bad = (F.length("s") >= F.length("rp")) & (sq.hamming(F.substr("s", F.length("s") - F.length("rp") + 1), F.col("rp")) > 3)
+    case = reads.cascade([("SMALLFRAGMENT", reads.is_small("s", 50)), ("BADREVERSE", bad), ("MINLENBAD", F.length("s") < F.col("minlen")), ("CONTAINSNS", sq.count_base(F.col("s"), "N") >= 1), ("MAXLENBAD", F.length("s") > F.col("maxlen"))])
+    return rows.withColumn("case", case).groupBy("target_name", "case").agg(F.count("*").alias("n"))
