@@ -298,3 +298,39 @@ def interval_overlaps(left: DataFrame, right: DataFrame, key: str, lstart: str,
     met = spread(left, lstart, lend).join(spread(right, rstart, rend), [key, "_bin"])
     met = met.where((F.col(lstart) < F.col(rend)) & (F.col(rstart) < F.col(lend)))
     return met.where(F.floor(F.greatest(lstart, rstart) / width) == F.col("_bin")).drop("_bin")
+
+
+def pcr_counts(seqs: DataFrame, seq_id: str, targets: DataFrame, target: str, forward: DataFrame, reverse: DataFrame, found: DataFrame) -> DataFrame:
+    """(seq_id, target, forward, reverse, amplicons): hits and extractions of every sequence and target that occur, zeros included.
+
+    ``forward`` and ``reverse`` are hits, ``found`` their amplicons, all with a column ``target``. The keys are all sequences with
+    any hit times all targets: a table of the size of the report.
+    """
+    count = lambda df, n: df.groupBy(seq_id, "target").agg(F.count("*").alias(n))
+    hit = forward.select(seq_id).unionByName(reverse.select(seq_id)).distinct()
+    keys = seqs.select(seq_id).distinct().join(hit, seq_id, "left_semi").crossJoin(targets.select(F.col(target).alias("target")).distinct())
+    out = keys
+    for df, n in ((forward, "forward"), (reverse, "reverse"), (found, "amplicons")):
+        out = out.join(count(df, n), [seq_id, "target"], "left")
+    return out.fillna(0, ["forward", "reverse", "amplicons"])
+
+
+def paired_screen(reads: DataFrame, read_id: str, first: str, second: str, refs: DataFrame, ref_seq: str, by: list[str], *, k: int = 5, halves: int = 1) -> DataFrame:
+    """(read_id): pairs of which the first mate and the complement of the second both pass ``kmer_screen``'s test with one and the same reference.
+
+    Ids must be unique. Up to BROADCAST_REFS references (checked) are broadcast; more are met reference by reference through the shared
+    k-mers of the first mate. A pair with a null or too short mate doesn't pass.
+    """
+    distinct = lambda c: F.array_distinct(sq.kmers(c, k))
+    left = reads.select(read_id, *by, distinct(F.upper(first)).alias("_a"), distinct(sq.revcomp(F.upper(second))).alias("_b")).where("size(_a) > 0 and size(_b) > 0")
+    right = refs.where(F.col(ref_seq).isNotNull()).select(*by, distinct(F.upper(ref_seq)).alias("_rk"))
+    if refs.limit(BROADCAST_REFS + 1).count() <= BROADCAST_REFS:
+        met = left.join(F.broadcast(right), by) if by else left.crossJoin(F.broadcast(right))
+    else:
+        numbered = right.withColumn("_ref", F.md5(F.array_join(F.array_sort("_rk"), ","))).dropDuplicates([*by, "_ref"])
+        shared = left.select(read_id, *by, F.explode("_a").alias("_kmer")).join(numbered.select(*by, "_ref", F.explode("_rk").alias("_kmer")), [*by, "_kmer"])
+        enough = shared.groupBy(read_id, *by, "_ref").agg(F.count("*").alias("_n")).drop("_n")
+        met = enough.join(left, [read_id, *by]).join(numbered, [*by, "_ref"])
+    passes = lambda own: F.size(F.array_intersect(own, "_rk")) * 2 >= F.size(own) * halves
+    some = (F.size(F.array_intersect("_a", "_rk")) > 0) & (F.size(F.array_intersect("_b", "_rk")) > 0)
+    return met.where(some & passes("_a") & passes("_b")).select(read_id).distinct()

@@ -165,3 +165,14 @@ def mark_small_bins(df: DataFrame, by: list[str], most: int = 5) -> DataFrame:
 def exclude_named(df: DataFrame, column: str, names_: list[str]) -> DataFrame:
     """Rows whose ``column`` is none of the names; rows with null stay."""
     return df.where(F.col(column).isNull() | ~F.col(column).isin(names_)) if names_ else df
+
+
+def outcome_counts(df: DataFrame, by: list[str], status: str, statuses: list[str]) -> DataFrame:
+    """One row per key with 'n(p%)' of its rows for every status of the list, and the total; other statuses count in the total only."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col(status) == s).alias(s.lower()) for s in statuses))
+    return counts.select(*by, "total", *(names.percent(F.col(s.lower()), F.col("total")).alias(s.lower()) for s in statuses))
+
+
+def sorted_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows per key, the commonest first, ties by key in ascending order."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)

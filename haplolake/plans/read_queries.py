@@ -451,3 +451,39 @@ def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.length("s") >= F.length("rp")) & (sq.hamming(F.substr("s", F.length("s") - F.length("rp") + 1), F.col("rp")) > 3)
     case = reads.cascade([("SMALLFRAGMENT", reads.is_small("s", 50)), ("BADREVERSE", bad), ("MINLENBAD", F.length("s") < F.col("minlen")), ("CONTAINSNS", sq.count_base(F.col("s"), "N") >= 1), ("MAXLENBAD", F.length("s") > F.col("maxlen"))])
     return rows.withColumn("case", case).groupBy("target_name", "case").agg(F.count("*").alias("n"))
+
+
+@query("""with b as (select cluster_id, upper(seq_) s from clusters), h as (select cluster_id, target_name, count(*) f from (select cluster_id, target_name, hamming(substr(s, o + 1, 18), upper(fwd_primer)) e
+          from b, targets, lateral (select unnest(range(0, length(s) - 17)) o) where length(s) >= 18) where e <= 2 group by all),
+          r as (select cluster_id, target_name, count(*) f from (select cluster_id, target_name, hamming(substr(s, o + 1, 18), upper(rev_primer)) e from b, targets, lateral (select unnest(range(0, length(s) - 17)) o)
+          where length(s) >= 18) where e <= 2 group by all), k as (select cluster_id, target_name from (select cluster_id from h union select cluster_id from r), (select distinct target_name from targets))
+          select cluster_id, k.target_name target, coalesce(h.f, 0) forward, coalesce(r.f, 0) reverse from k left join h using (cluster_id, target_name) left join r using (cluster_id, target_name)""")
+def pcr_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of both primers within two errors for every sequence that has any and every target, zeros included."""
+    rows, targets = spread_table(spark, sf_dir, "clusters", "cluster_id", "seq_"), table(spark, sf_dir, "targets")
+    hit = lambda p: matching.motif_hits(rows, "cluster_id", "seq_", targets, "target_name", p, 2).where("strand = '+'").withColumnRenamed("target_name", "target")
+    forward, reverse = hit("fwd_primer"), hit("rev_primer")
+    none = forward.select("cluster_id", "target").limit(0)
+    return matching.pcr_counts(rows, "cluster_id", targets, "target_name", forward, reverse, none).drop("amplicons")
+
+
+@query("""with r as (select target_name, min(seq_) ref from clusters where seq_ is not null and cluster_id in (select min(cluster_id) from clusters where seq_ is not null group by target_name) group by 1),
+ h as (select cluster_id, c.target_name, upper(substr(seq_, 1, 80)) a, upper(right(seq_, 80)) b, upper(ref) ref from clusters c join r using (target_name) where length(seq_) >= 5),
+ k as (select cluster_id, list_distinct(list_transform(range(1, length(a) - 3), lambda i: substr(a, i, 5))) ka, list_distinct(list_transform(range(1, length(b) - 3), lambda i: substr(b, i, 5))) kb,
+ list_distinct(list_transform(range(1, length(ref) - 3), lambda i: substr(ref, i, 5))) kr from h)
+ select cluster_id from k where 2 * len(list_intersect(ka, kr)) >= len(ka) and 2 * len(list_intersect(kb, kr)) >= len(kb)""")
+def paired_contamination_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of a sequence as mates: each shares half of its 5-mers with the reference of its target."""
+    rows = spread_table(spark, sf_dir, "clusters", "cluster_id", "target_name", "seq_")
+    mates = rows.select("cluster_id", "target_name", F.substring("seq_", 1, 80).alias("a"), sq.revcomp(F.upper(F.right("seq_", F.lit(80)))).alias("b"))
+    return matching.paired_screen(mates, "cluster_id", "a", "b", _first_refs(rows), "ref", ["target_name"])
+
+
+@query("""with x as (select target_name, case when length(seq_) < 150 then 'SHORT' when length(seq_) > 200 then 'LONG' else 'USUAL' end st from clusters where seq_ is not null and target_name is not null),
+          t as (select target_name, count(*) total, count(*) filter (st = 'SHORT') s, count(*) filter (st = 'USUAL') u, count(*) filter (st = 'LONG') l from x group by 1)
+          select target_name, total, printf('%d(%.2f%%)', s, s * 100.0::double / total) short, printf('%d(%.2f%%)', u, u * 100.0::double / total) usual, printf('%d(%.2f%%)', l, l * 100.0::double / total) long from t""")
+def outcome_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of an outcome with percentages per target: here three classes of length."""
+    length = F.length("seq_")
+    rows = table(spark, sf_dir, "clusters").where("seq_ is not null and target_name is not null").withColumn("st", F.when(length < 150, "SHORT").when(length > 200, "LONG").otherwise("USUAL"))
+    return reads.outcome_counts(rows, ["target_name"], "st", ["SHORT", "USUAL", "LONG"])

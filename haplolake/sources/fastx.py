@@ -154,3 +154,37 @@ def write(df: DataFrame, path: str, name: str, seq: str, qual: str | None = None
     rows = df.select(text.alias("value"), *(by or [])).where("value is not null")
     writer = rows.write.mode(mode).option("compression", compression)
     (writer.partitionBy(*by) if by else writer).text(path)
+
+
+def write_pairs(df: DataFrame, path: str, name: str, first: tuple[str, str | None], second: tuple[str, str | None], *, by: list[str] | None = None, compression: str = "none", mode: str = "errorifexists") -> None:
+    """Write mates as two datasets ``path``/R1 and ``path``/R2, each a folder per value of ``by``; records are sorted by name within a task, so mates stand in the same order.
+
+    Pairs of which either mate lacks what its text needs (name, sequence, qualities) are left out of both.
+    """
+    text = {side: fastq_text(F.col(name), F.col(s), F.col(q)) if q else fasta_text(F.col(name), F.col(s)) for side, (s, q) in (("R1", first), ("R2", second))}
+    rows = df.select(F.col(name).alias("_n"), text["R1"].alias("R1"), text["R2"].alias("R2"), *(by or [])).where("R1 is not null and R2 is not null")
+    rows = rows.sortWithinPartitions(*(by or []), "_n")
+    for side in ("R1", "R2"):
+        writer = rows.select(F.col(side).alias("value"), *(by or [])).write.mode(mode).option("compression", compression)
+        (writer.partitionBy(*by) if by else writer).text(f"{path}/{side}")
+
+
+def write_by_status(df: DataFrame, path: str, name: str, seq: str, qual: str, status: str, expected: str, *, mode: str = "errorifexists") -> None:
+    """Write stitched records into folders route=good or route=bad and status=..., by whether the array ``expected`` holds their status.
+
+    A null status or null expectation is bad.
+    """
+    route = F.when(F.array_contains(expected, F.col(status)), "good").otherwise("bad")
+    write(df.withColumns({"route": route, "status": F.coalesce(F.col(status), F.lit("NONE"))}), path, name, seq, qual, by=["route", "status"], mode=mode)
+
+
+def write_to_locations(df: DataFrame, path: str, name: str, seq: str, qual: str | None, key: str, locations: DataFrame, *, mode: str = "errorifexists") -> None:
+    """Write records under location=<folder> of their key, from a table (key, location); a key that isn't there is tried without _R1 or _R2 at its end.
+
+    Records of unknown keys are left out.
+    """
+    known = locations.select(F.col("key").alias("_k"), "location").dropna().dropDuplicates(["_k"])
+    plain = F.regexp_replace(F.col(key), "_R[12]$", "")
+    met = df.join(known, F.col(key) == F.col("_k"), "left").drop("_k").withColumnRenamed("location", "_own")
+    met = met.join(known, plain == F.col("_k"), "left").withColumn("location", F.coalesce("_own", "location")).where("location is not null")
+    write(met, path, name, seq, qual, by=["location"], mode=mode)

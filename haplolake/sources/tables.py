@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BED = "chrom string, start bigint, end bigint, name string, score double, strand string"
@@ -148,3 +148,20 @@ def expand_commands(template: str, lists: dict[str, list[str]]) -> list[str]:
             line = line.replace("{" + k + "}", v)
         out.append(line)
     return out
+
+
+def write_tree_json(edges: DataFrame, path: str, a: str = "a", b: str = "b", weight: str = "events", *, by: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """Edges of spanning trees as a JSON document per tree (key ``by``): its nodes by name and its links with their weights.
+
+    A tree is one row, so this is for trees that somebody will draw; the edges themselves scale.
+    """
+    keys = by or []
+    links = F.sort_array(F.collect_list(F.struct(F.col(a).alias("source"), F.col(b).alias("target"), F.col(weight).alias("value")))).alias("links")
+    nodes = F.array_sort(F.array_distinct(F.concat(F.collect_set(a), F.collect_set(b)))).alias("nodes")
+    edges.groupBy(*keys).agg(nodes, links).write.mode(mode).json(path)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """The table with metrics that are counted while it is written, without another pass; read them from ``get`` of the observation afterwards."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(m.alias(k) for k, m in metrics.items())), seen

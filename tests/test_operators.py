@@ -301,3 +301,69 @@ def test_contamination_with_repeated_rows(spark, monkeypatch, limit):
     monkeypatch.setattr(matching, "BROADCAST_REFS", limit)
     df, rf = spark.createDataFrame(rows, "id long, t string, s string"), spark.createDataFrame(refs, "t string, r string")
     assert {r["id"]: r["best"] for r in matching.kmer_screen(df, "id", "s", rf, "r", ["t"]).collect()} == want
+
+
+def test_in_row_and_joined_matching_agree(spark, monkeypatch):
+    r = random.Random(31)
+    primers = {f"p{k}": "".join(r.choice("ACGT") for _ in range(r.choice([8, 9]))) for k in range(6)}
+    rows = []
+    for k in range(120):
+        p = list(r.choice(list(primers.values())))
+        for _ in range(r.randint(0, 2)):
+            p[r.randrange(len(p))] = r.choice("ACGTN")
+        rows.append((k, "".join(r.choice("ACGT") for _ in range(r.randint(0, 3))) + "".join(p) + "ACGTTTGACCA"))
+    rows += [(500, None), (501, ""), (502, "AC"), (503, "é" * 20)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    codes = spark.createDataFrame([*primers.items(), ("p0", primers["p1"]), ("z", None), ("y", "")], "t string, p string")
+    both = []
+    for few in (500, 0):
+        monkeypatch.setattr(matching, "IN_ROW", few)
+        demux = matching.demultiplex(df, "id", "s", codes, "t", "p", errors=1)
+        primer = matching.match_primers(df, "id", "s", codes, "t", "p", errors=2, within=4)
+        back = matching.match_primers(df, "id", "s", codes, "t", "p", errors=2, within=4, reverse=True)
+        turned = matching.match_oriented(df, "id", "s", codes, "t", "p", errors=2, within=4)
+        pairs = matching.match_primer_pairs(df, "id", "s", codes, "t", "p", "p", errors=2, within=4)
+        both.append([sorted(map(str, x.select(sorted(x.columns)).collect())) for x in (demux, primer, back, turned, pairs)])
+    assert both[0] == both[1]
+    assert len(both[0][0]) == len(rows)
+
+
+def test_complement_retry_and_dual_barcodes(spark):
+    targets = spark.createDataFrame([("x", "ACGTACGGTT"), ("y", "TTGGCCAATC")], "t string, p string")
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    df = spark.createDataFrame([(1, "ACGTACGGTTAAAA"), (2, back("TTGGCCAATCGGG")), (3, "GGGGGGGGGGGG"), (4, None)], "id long, s string")
+    found = {r["id"]: (r["label"], r["complement"]) for r in matching.match_oriented(df, "id", "s", targets, "t", "p", errors=0).collect()}
+    assert found == {1: ("x", False), 2: ("y_Comp", True), 3: ("unrecognized", False), 4: ("unrecognized", False)}
+    counts = {r["target"]: (r["forward"], r["complement"], r["complement_share"]) for r in matching.orientation_counts(matching.match_oriented(df, "id", "s", targets, "t", "p", errors=0)).collect()}
+    assert counts == {"x": (1, 0, 0.0), "y": (0, 1, 1.0)}
+    one = spark.createDataFrame([(1, "a", "MATCH"), (2, "a", "MATCH"), (3, None, "AMBIGUOUS"), (4, "a", "MATCH")], "id long, mid string, outcome string")
+    two = spark.createDataFrame([(1, "a", "MATCH"), (2, "b", "MATCH"), (3, "a", "MATCH"), (4, None, "NO_MATCHING")], "id long, mid string, outcome string")
+    dual = {r["id"]: (r["mid"], r["outcome"]) for r in matching.dual_barcodes(one, two, "id").collect()}
+    assert dual == {1: ("a", "MATCH"), 2: (None, "MISMATCHED"), 3: (None, "AMBIGUOUS"), 4: (None, "NO_MATCHING")}
+
+
+def test_paired_screen_both_ways(spark, monkeypatch):
+    ref, other = dna(60), dna(60)
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    df = spark.createDataFrame([(1, "k", ref[:30], back(ref[30:])), (2, "k", ref[:30], back(other[30:])), (3, "k", None, back(ref)), (4, "k", "AC", "GT"), (5, "q", ref[:30], back(ref[30:]))], "id long, g string, a string, b string")
+    refs = spark.createDataFrame([("k", ref), ("k", ref), ("k", other), ("k", None)], "g string, r string")
+    for most in (2000, 0):
+        monkeypatch.setattr(matching, "BROADCAST_REFS", most)
+        assert [r["id"] for r in matching.paired_screen(df, "id", "a", "b", refs, "r", ["g"]).collect()] == [1]
+
+
+def test_small_things(spark):
+    df = spark.createDataFrame([("a", "ACGT", 2), ("a", "AC", None), ("b", None, 1), (None, "A" * 60, 3)], "k string, s string, m int")
+    cut = reads.trim_to_longest(df, "s", F.col("m")).collect()
+    assert [r["s"] for r in cut] == ["AC", "AC", None, "AAA"]
+    assert [r["x"] for r in df.select(reads.is_small("s", 3).alias("x")).collect()] == [False, True, None, False]
+    assert {(r["k"], r["small_bin"]) for r in reads.mark_small_bins(df, ["k"], 1).collect()} == {("a", False), ("b", True), (None, True)}
+    assert [r["k"] for r in reads.exclude_named(df, "k", ["a"]).collect()] == ["b", None]
+    assert [tuple(r) for r in reads.sorted_counts(df, ["k"]).collect()] == [("a", 2), (None, 1), ("b", 1)]
+    out = reads.outcome_counts(df.withColumn("st", F.lit("GOOD")), ["k"], "st", ["GOOD", "BAD"]).where("k = 'a'").first()
+    assert (out["total"], out["good"], out["bad"]) == (2, "2(100.00%)", "0(0.00%)")
+    seqs = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    hit = spark.createDataFrame([("s1", "x"), ("s1", "x")], "id string, target string")
+    targets = spark.createDataFrame([("x",), ("y",)], "t string")
+    got = {tuple(r) for r in matching.pcr_counts(seqs, "id", targets, "t", hit, hit.limit(1), hit.limit(0)).collect()}
+    assert got == {("s1", "x", 2, 1, 0), ("s1", "y", 0, 0, 0)}

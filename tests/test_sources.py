@@ -72,3 +72,27 @@ def test_tables(spark, tmp_path):
         tables.read_json(spark, str(tmp_path / "c.json"), "name string, dir string", ["dir"]).collect()
     assert tables.expand_commands("run {A} {B}", {"A": ["1", "2"], "B": ["x"], "C": ["y"]}) == ["run 1 x", "run 2 x"]
     tables.write_delimited(spark.range(2).select(F.col("id")), str(tmp_path / "t"), compression="gzip")
+
+
+def test_paired_and_routed_writers(spark, tmp_path):
+    rows = [("t", "b", "ACGT", [40] * 4, "TTGG", [30] * 4, "R1ENDSINR2", ["R1ENDSINR2"]), ("t", "a", "AC", [40, 2], "GG", [9, 9], "NOOVERLAP", ["R1ENDSINR2"]), ("u", "c", "A", [1], None, None, None, None)]
+    df = spark.createDataFrame(rows, "t string, n string, r1 string, q1 array<smallint>, r2 string, q2 array<smallint>, st string, ex array<string>").coalesce(1)
+    fastx.write_pairs(df, str(tmp_path / "pairs"), "n", ("r1", "q1"), ("r2", "q2"), by=["t"])
+    names = {side: [line for f in (tmp_path / "pairs" / side).rglob("part*") for line in f.read_text().splitlines() if line.startswith("@")] for side in ("R1", "R2")}
+    assert names["R1"] == names["R2"] == ["@a", "@b"]
+    fastx.write_by_status(df, str(tmp_path / "routed"), "n", "r1", "q1", "st", "ex")
+    assert sorted(f"{p.parent.name}/{p.name}" for p in (tmp_path / "routed").glob("*/*") if p.is_dir()) == ["route=bad/status=NONE", "route=bad/status=NOOVERLAP", "route=good/status=R1ENDSINR2"]
+    places = spark.createDataFrame([("t", "one"), ("x", "two"), (None, "z")], "key string, location string")
+    keyed = df.withColumn("lib", F.when(F.col("n") == "a", "x_R1").when(F.col("n") == "c", "nowhere").otherwise("t"))
+    fastx.write_to_locations(keyed, str(tmp_path / "extra"), "n", "r1", "q1", "lib", places)
+    assert sorted(p.name for p in (tmp_path / "extra").glob("location=*")) == ["location=one", "location=two"]
+
+
+def test_tree_json_and_observed(spark, tmp_path):
+    edges = spark.createDataFrame([("k", "A", "B", 1), ("k", "B", "C", 2)], "s string, a string, b string, events int")
+    tables.write_tree_json(edges, str(tmp_path / "tree"), by=["s"])
+    tree = json.loads("".join(f.read_text() for f in (tmp_path / "tree").glob("part*")))
+    assert tree == {"s": "k", "nodes": ["A", "B", "C"], "links": [{"source": "A", "target": "B", "value": 1}, {"source": "B", "target": "C", "value": 2}]}
+    df, seen = tables.observed(edges, "run", events=F.sum("events"))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 2, "events": 3}
