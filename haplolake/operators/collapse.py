@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequence as sq
+
 
 @dataclass(frozen=True)
 class Round:
@@ -233,9 +235,10 @@ def chimeras(unique: DataFrame, by: list[str], times: int = 2) -> DataFrame:
 def difference_table(rows: DataFrame, refs: DataFrame, by: list[str], seq: str, ref: str, count: str) -> DataFrame:
     """(by, pos, ref_base, base, seqs, reads): how sequences of the reference's length differ from it, per position (from 1)."""
     met = rows.select(*by, F.upper(seq).alias("_s"), count).join(refs.select(*by, F.upper(ref).alias("_r")), by).where(F.length("_s") == F.length("_r"))
-    # both texts are cut by one position column: generated code, no arrays of pairs
-    long = met.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("_s")))).select(*by, "pos", F.substring("_r", F.col("pos"), F.lit(1)).alias("ref_base"), F.substring("_s", F.col("pos"), F.lit(1)).alias("base"), count)
-    return long.where("ref_base != base").groupBy(*by, "pos", "ref_base", "base").agg(F.count("*").alias("seqs"), F.coalesce(F.sum(count), F.lit(0.0)).alias("reads"))
+    # only positions that differ become rows
+    pairs = F.arrays_zip(sq.bases(F.col("_r")).alias("r"), sq.bases(F.col("_s")).alias("s"), F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))).alias("p"))
+    long = met.withColumn("_d", F.explode(F.filter(pairs, lambda x: x["r"] != x["s"]))).select(*by, F.col("_d.p").alias("pos"), F.col("_d.r").alias("ref_base"), F.col("_d.s").alias("base"), count)
+    return long.groupBy(*by, "pos", "ref_base", "base").agg(F.count("*").alias("seqs"), F.coalesce(F.sum(count), F.lit(0.0)).alias("reads"))
 
 
 def spanning_edges(unique: DataFrame, by: list[str]) -> DataFrame:

@@ -91,6 +91,43 @@ def _best_windows(motifs: list[tuple], errors: int, start: int, stop: int):
     return run
 
 
+def _all_windows(motifs: list[tuple], errors: int, most: int = 2_000_000):
+    """Rows (id, seq): every place of every motif within ``errors`` mismatches. Texts of a batch are compared end to end, in slices of ``most`` letters."""
+    coded = [(name, np.frombuffer(motif.encode("ascii", "replace"), np.uint8)) for name, motif in motifs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = np.asarray(pc.utf8_length(whole.column(1))).astype(np.int64)
+            low = 0
+            while low < whole.num_rows:
+                high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[low:]), most, "right")) + low)
+                batch = whole.slice(low, high - low)
+                low = high
+                text = np.frombuffer("".join(pc.utf8_upper(batch.column(1)).to_pylist()).encode("ascii", "replace"), np.uint8)
+                size = np.asarray(pc.utf8_length(pc.utf8_upper(batch.column(1)))).astype(np.int64)
+                ends = np.cumsum(size)
+                row_of = np.repeat(np.arange(size.size), size)
+                rows, names, places, wrongs = [], [], [], []
+                for name, motif in coded:
+                    n = text.size - motif.size + 1
+                    if n < 1:
+                        continue
+                    wrong = np.zeros(n, np.uint16)
+                    for j, letter in enumerate(motif):
+                        wrong += text[j : j + n] != letter
+                    at = np.flatnonzero(wrong <= errors)
+                    at = at[at + motif.size <= ends[row_of[at]]]
+                    rows.append(row_of[at])
+                    places.append(at - (ends - size)[row_of[at]])
+                    wrongs.append(wrong[at])
+                    names += [name] * at.size
+                if rows:
+                    where, offset, wrong = (np.concatenate(x) for x in (rows, places, wrongs))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array(names, pa.string()), pa.array(offset.astype(np.int32)), pa.array(wrong.astype(np.int32))], names=["_read", "_name", "offset", "errors"])
+
+    return run
+
+
 def _in_row(reads: DataFrame, read_id: str, seq: Column, motifs: list[tuple], errors: int, start: int, stop: int) -> DataFrame:
     """(read, _name, errors, offset, _ties), one row per row of ``reads``, nulls without a hit: no shuffle."""
     kind = dict(reads.dtypes)[read_id]
@@ -259,12 +296,19 @@ def kmer_screen(reads: DataFrame, read_id: str, seq: str, refs: DataFrame, ref_s
 def motif_hits(seqs: DataFrame, seq_id: str, seq: str, motifs: DataFrame, name: str, motif: str, errors: int) -> DataFrame:
     """(seq_id, name, strand, start, end, errors): all places of motifs within ``errors`` mismatches, both strands, half-open from 0.
 
-    Found by pigeonhole seeds (an equi-join), verified by mismatches. Degenerate motifs are to be expanded first
+    A set of up to IN_ROW motifs (of both strands) is compared with all places of a row at once; a larger one is
+    found by pigeonhole seeds (an equi-join), verified by mismatches. Degenerate motifs are to be expanded first
     (``expand_motif``). Null sequences and motifs are nowhere.
     """
     both = motifs.select(F.col(name).alias("_n"), F.upper(motif).alias("_m")).where(F.col(motif).isNotNull())
     strands = both.select(F.concat(F.lit("+"), "_n").alias("_n"), "_m").unionByName(both.select(F.concat(F.lit("-"), "_n").alias("_n"), sq.revcomp(F.col("_m")).alias("_m")))
-    hits = _hits(seqs, seq_id, F.col(seq), strands, "_n", "_m", errors, 0, None)
+    few = _few(strands, "_n", "_m")
+    if few is not None:
+        kind = dict(seqs.dtypes)[seq_id]
+        rows = seqs.select(F.col(seq_id).alias("_read"), F.col(seq).cast("string").alias("_seq")).where("length(_seq) > 0")
+        hits = rows.mapInArrow(_all_windows(few, errors), f"_read {kind}, _name string, offset int, errors int").distinct()
+    else:
+        hits = _hits(seqs, seq_id, F.col(seq), strands, "_n", "_m", errors, 0, None)
     sized = hits.join(strands.select(F.col("_n").alias("_name"), F.length("_m").alias("_w")), "_name")
     return sized.select(
         F.col("_read").alias(seq_id), F.substring("_name", 2, 1000).alias(name), F.substring("_name", 1, 1).alias("strand"), F.col("offset").alias("start"), (F.col("offset") + F.col("_w")).alias("end"), "errors"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import ranking
 
 
@@ -86,10 +87,13 @@ def population(found: DataFrame, sample: list[str], prefix: str, pool: list[str]
     Rank: most samples, then the larger summed fraction (compared to 9 places), then the smaller sequence; ``pool`` ranks within keys.
     """
     pool = pool or []
+    # every later step starts from these few columns, so the fractions behind them are worked out once
+    found = materialise(found.select(*dict.fromkeys([*pool, *sample]), "seq", "avg_frac", "reads"), "fractions")
     haps = found.groupBy(*pool, "seq").agg(F.count_distinct(*sample).alias("h_sampcnt"), F.round(F.sum("avg_frac"), 9).alias("total_frac"), F.sum("reads").alias("reads"))
     all_samples = found.select(*dict.fromkeys([*pool, *sample])).distinct()
     n = all_samples.groupBy(*pool).agg(F.count("*").alias("n_samples")) if pool else all_samples.agg(F.count("*").alias("n_samples"))
     haps = haps.join(n, pool) if pool else haps.crossJoin(n)
+    haps = materialise(haps, "haplotypes")
     counts = haps.groupBy(*pool).agg(F.count("*").alias("_k"))
     haps = ranking.number_within(haps, pool, [F.desc("h_sampcnt"), F.desc("total_frac"), "seq"], "_r")
     haps = haps.join(counts, pool) if pool else haps.crossJoin(counts)
