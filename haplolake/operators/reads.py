@@ -176,3 +176,17 @@ def outcome_counts(df: DataFrame, by: list[str], status: str, statuses: list[str
 def sorted_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows per key, the commonest first, ties by key in ascending order."""
     return df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)
+
+
+def trim_mates(df: DataFrame, first: tuple[str, str], second: tuple[str, str], n1: int = 1, n2: int = 1, *, mate_rc: bool = False) -> DataFrame:
+    """Mates without the last ``n1`` and ``n2`` bases and qualities; of a mate that was turned round already the first ``n2`` go.
+
+    Mates no longer than what goes become empty; null sequences and qualities stay null.
+    """
+    cut = {}
+    for (s, q), n, front in ((first, n1, False), (second, n2, mate_rc)):
+        length, size = F.greatest(F.length(s) - n, F.lit(0)), F.greatest(F.size(q) - n, F.lit(0))
+        start = F.lit(n + 1 if front else 1)
+        cut[s] = F.substring(F.col(s), start, length)
+        cut[q] = F.when(F.col(q).isNotNull(), F.slice(F.col(q), start, size))
+    return df.withColumns(cut)

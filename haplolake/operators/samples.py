@@ -136,3 +136,14 @@ def wide_runs(rows: DataFrame, by: list[str], value: str, most: int | None = Non
     if most is None:
         most = lists.agg(F.max(F.size("_v"))).first()[0] or 0
     return lists.select(*by, *(F.get("_v", F.lit(i)).alias(f"run{i + 1}") for i in range(most)), F.size("_v").alias("runs"))
+
+
+def two_hop(rows: DataFrame, key: str, first: DataFrame, second: DataFrame, *, fill: str = "") -> DataFrame:
+    """``rows`` with ``uid`` and ``typed``: key -> uid by ``first`` (key, uid), uid -> typed by ``second`` (uid, typed); ``fill`` where a hop leads nowhere.
+
+    Of several entries for one key the smallest counts; null keys lead nowhere. No row is lost or doubled.
+    """
+    one = first.where("key is not null").groupBy(F.col("key").alias("_k")).agg(F.min("uid").alias("uid"))
+    two = second.where("uid is not null").groupBy(F.col("uid").alias("_u")).agg(F.min("typed").alias("typed"))
+    met = rows.join(one, F.col(key) == F.col("_k"), "left").join(two, F.col("uid") == F.col("_u"), "left").drop("_k", "_u")
+    return met.withColumns({"uid": F.coalesce("uid", F.lit(fill)), "typed": F.coalesce("typed", F.lit(fill))})

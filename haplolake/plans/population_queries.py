@@ -281,7 +281,8 @@ def snp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.difference_table(unique, refs, ["target_name", "len"], "seq", "ref", "cnt")
 
 
-_CHI = """with u as (select target_name, replicate_no, s_sample, upper(seq_) seq, sum(cnt_) cnt from clusters where seq_ is not null and s_sample is not null and replicate_no is not null and target_name is not null group by all),
+_UNIQUE = """u0 as (select target_name, replicate_no, s_sample, upper(seq_) seq, sum(cnt_) cnt from clusters where seq_ is not null and s_sample is not null and replicate_no is not null and target_name is not null group by all)"""
+_PARENTS = """
  m as (select a.target_name, a.s_sample, a.replicate_no, a.seq, p.seq parent, coalesce(list_min(list_filter(range(1, least(length(a.seq), length(p.seq)) + 1), lambda i: a.seq[i] <> p.seq[i])) - 1, least(length(a.seq), length(p.seq))) pre,
  coalesce(list_min(list_filter(range(1, least(length(a.seq), length(p.seq)) + 1), lambda i: a.seq[-i] <> p.seq[-i])) - 1, least(length(a.seq), length(p.seq))) suf
  from u a join u p on a.target_name = p.target_name and a.s_sample = p.s_sample and a.replicate_no = p.replicate_no and p.cnt >= 2 * a.cnt and a.seq <> p.seq),
@@ -290,11 +291,31 @@ _CHI = """with u as (select target_name, replicate_no, s_sample, upper(seq_) seq
  select target_name, s_sample, replicate_no, seq, x[2] left_parent, x[4] right_parent from b"""
 
 
+_CHI = f"with {_UNIQUE}, u as (select * from u0)," + _PARENTS
+_PLANTED = f"""with {_UNIQUE}, o as (select *, row_number() over (partition by target_name, s_sample, replicate_no order by cnt desc, seq) r from u0),
+ pl as (select a.target_name, a.replicate_no, a.s_sample, substr(a.seq, 1, 60) || substr(b.seq, 61) seq, 0::double cnt from o a join o b using (target_name, s_sample, replicate_no) where a.r = 1 and b.r = 2),
+ u as (select target_name, replicate_no, s_sample, seq, sum(cnt) cnt from (select * from u0 union all by name select * from pl) group by all),""" + _PARENTS
+
+
 @query(_CHI)
 def chimera_two_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["target_name", "s_sample", "replicate_no"]
-    unique = table(spark, sf_dir, "clusters").where("seq_ is not null").dropna(subset=key).groupBy(*key, F.upper("seq_").alias("seq")).agg(F.sum("cnt_").alias("cnt"))
-    return collapse.chimeras(unique, key)
+    return collapse.chimeras(_unique(spark, sf_dir, key), key)
+
+
+def _unique(spark: SparkSession, sf_dir: str, key: list[str]) -> DataFrame:
+    return table(spark, sf_dir, "clusters").where("seq_ is not null").dropna(subset=key).groupBy(*key, F.upper("seq_").alias("seq")).agg(F.sum("cnt_").alias("cnt"))
+
+
+@query(_PLANTED)
+def chimera_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``chimera_two_parent``, after the front of every key's commonest sequence was joined to the end of its second one."""
+    key = ["target_name", "s_sample", "replicate_no"]
+    unique = _unique(spark, sf_dir, key)
+    ranked = unique.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("cnt"), "seq"))).where("r <= 2")
+    one, two = ranked.where("r = 1").select(*key, F.col("seq").alias("a")), ranked.where("r = 2").select(*key, F.col("seq").alias("b"))
+    planted = one.join(two, key).select(*key, F.concat(F.substring("a", 1, 60), F.expr("substr(b, 61)")).alias("seq"), F.lit(0.0).alias("cnt"))
+    return collapse.chimeras(unique.unionByName(planted).groupBy(*key, "seq").agg(F.sum("cnt").alias("cnt")), key)
 
 
 @query("""select target_name, count(*) clusters, count(*) filter (chimera) chimeras, sum(cnt_) reads, coalesce(sum(cnt_) filter (chimera), 0) chimera_reads,
@@ -465,3 +486,28 @@ def snp_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
     unique = table(spark, sf_dir, "clusters").where("seq_ is not null and target_name is not null").groupBy("target_name", F.upper("seq_").alias("seq")).agg(F.sum("cnt_").alias("cnt")).withColumn("len", F.length("seq"))
     refs = unique.groupBy("target_name", "len").agg(F.min_by("seq", F.struct(-F.col("cnt"), "seq")).alias("ref"))
     return collapse.snp_breakout(unique, refs, ["target_name", "len"], "seq", "ref", "cnt", least=10, share=0.05).withColumn("fraction", F.round("fraction", 6))
+
+
+@query("""with f as (select project_name, s_sample, h_popuid, max(c_averagedfrac) filter (not isnan(c_averagedfrac)) avg_frac from sample_info where project_name is not null and s_sample is not null and h_popuid is not null group by all),
+          major as (select distinct project_name, h_popuid from f where avg_frac >= 0.5) select project_name, s_sample, h_popuid, avg_frac from f where avg_frac < 0.1 and (project_name, h_popuid) in (select (project_name, h_popuid) from major)""")
+def rescued_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Haplotypes of a low fraction that are major in another sample of their project."""
+    rows = table(spark, sf_dir, "sample_info").dropna(subset=["project_name", "s_sample", "h_popuid"])
+    frac = F.max(F.when(~F.isnan("c_averagedfrac"), F.col("c_averagedfrac")))
+    found = rows.groupBy("project_name", "s_sample", "h_popuid").agg(frac.alias("avg_frac"))
+    return samples.rescue(found.where("avg_frac < 0.1"), found, ["project_name"], "h_popuid")
+
+
+@query("""with a as (select c_name, min(h_popuid) uid from sample_info where c_name is not null group by 1), b as (select h_popuid, min(h_aatyped) typed from sample_info where h_popuid is not null group by 1),
+          r as (select distinct s_sample, c_name from sample_info) select s_sample, c_name, coalesce(uid, '') uid, coalesce(typed, '') typed from r left join a using (c_name) left join b on b.h_popuid = a.uid""")
+def typed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its haplotype and that haplotype's translation, by two lookups."""
+    info = table(spark, sf_dir, "sample_info")
+    first, second = info.select(F.col("c_name").alias("key"), F.col("h_popuid").alias("uid")), info.select(F.col("h_popuid").alias("uid"), F.col("h_aatyped").alias("typed"))
+    return samples.two_hop(info.select("s_sample", "c_name").distinct(), "c_name", first, second)
+
+
+@query("select s_sample, h_popuid, count(*) n from sample_info group by all")
+def commonest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per sample and haplotype, the commonest first."""
+    return reads.sorted_counts(table(spark, sf_dir, "sample_info"), ["s_sample", "h_popuid"])

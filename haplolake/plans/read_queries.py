@@ -487,3 +487,12 @@ def outcome_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.length("seq_")
     rows = table(spark, sf_dir, "clusters").where("seq_ is not null and target_name is not null").withColumn("st", F.when(length < 150, "SHORT").when(length > 200, "LONG").otherwise("USUAL"))
     return reads.outcome_counts(rows, ["target_name"], "st", ["SHORT", "USUAL", "LONG"])
+
+
+@query(f"""select cluster_id, substr(seq_, 1, greatest(length(seq_) - 1, 0)) r1, substr({_REVCOMP.format('seq_')}, 3, greatest(length(seq_) - 2, 0)) r2, len(qual_[:greatest(len(qual_) - 1, 0)]) n1, len(qual_[3:]) n2 from clusters where seq_ is not null""")
+def trimmed_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence and its complement as mates: the first loses its last base, the second, turned round already, its first two."""
+    mates = table(spark, sf_dir, "clusters").where("seq_ is not null").select("cluster_id", F.col("seq_").alias("r1"), F.col("qual_").alias("q1"), sq.revcomp(F.col("seq_")).alias("r2"), F.reverse("qual_").alias("q2"))
+    cut = reads.trim_mates(mates, ("r1", "q1"), ("r2", "q2"), 1, 2, mate_rc=True)
+    size = lambda q: F.when(F.col(q).isNotNull(), F.size(q)).cast("long")
+    return cut.select("cluster_id", "r1", "r2", size("q1").alias("n1"), size("q2").alias("n2"))

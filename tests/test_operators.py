@@ -367,3 +367,15 @@ def test_small_things(spark):
     targets = spark.createDataFrame([("x",), ("y",)], "t string")
     got = {tuple(r) for r in matching.pcr_counts(seqs, "id", targets, "t", hit, hit.limit(1), hit.limit(0)).collect()}
     assert got == {("s1", "x", 2, 1, 0), ("s1", "y", 0, 0, 0)}
+
+
+def test_two_hop_and_trimmed_mates(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4)], "k string, n int")
+    first = spark.createDataFrame([("a", "u2"), ("a", "u1"), ("b", "u9"), (None, "u1")], "key string, uid string")
+    second = spark.createDataFrame([("u1", "t"), (None, "x")], "uid string, typed string")
+    assert {(r["n"], r["uid"], r["typed"]) for r in samples.two_hop(rows, "k", first, second).collect()} == {(1, "u1", "t"), (2, "u9", ""), (3, "", ""), (4, "", "")}
+    mates = spark.createDataFrame([("ACGT", [1, 2, 3, 4], "TTGCA", [9, 8, 7, 6, 5]), ("A", [1], None, None), ("", [], "C", [3])], "a string, p array<int>, b string, q array<int>")
+    cut = [tuple(r) for r in reads.trim_mates(mates, ("a", "p"), ("b", "q"), 1, 2, mate_rc=True).collect()]
+    assert cut == [("ACG", [1, 2, 3], "GCA", [7, 6, 5]), ("", [], None, None), ("", [], "", [])]
+    plain = reads.trim_mates(mates, ("a", "p"), ("b", "q")).first()
+    assert tuple(plain) == ("ACG", [1, 2, 3], "TTGC", [9, 8, 7, 6])
