@@ -7,15 +7,16 @@ signature wherever none of their differing features fell; the number of parts is
 pair at the limit of the wanted similarity shares several. A signature that very many sequences
 share (a hot bucket) is compared block by block over many tasks, so no bucket is cut and none sits
 in one task; of these pairs only those go on that share as many short grams as near ones must. One that
-is hot within a single batch already is spread before the shuffle.
+is hot within a single batch already is spread before the shuffle. Whether two texts are compared
+depends on these two texts only, never on how many others there are.
 
 This is the enumeration with one differing part to a first-level partition allowed to be any: as many
 edits as are permitted here touch more features than a set has, so subsets of two or more parts would
 share less than single parts do. Recall is measured by the tests, not guaranteed.
 
-Stretches that nearly all texts of a block share (primers and the like) would put unrelated texts
-into common buckets; a statistics pass over all texts finds them, and a feature that lies mostly in
-them signs nothing.
+Stretches that nearly all texts of a block share (primers and the like) put unrelated texts into
+common buckets. They sign like any other, as a pair may have nothing else left in common: the hot
+signatures of a good share of a block's texts are compared as one bucket, each pair once.
 
 Candidates are verified exactly: edit distance by bit-parallel columns over many pairs at once,
 and, if that is too large, edit distance after one contiguous stretch is put back in its place. The
@@ -50,18 +51,16 @@ FEATURES_PER_PART = 0.72
 LARGE = 200
 #: members of a hot bucket in one block; each is sent once per block of its bucket
 BLOCK = 2000
-#: length of the grams that near texts must share in some number, and bits that stand for them
-SHARED_GRAM, SHARED_BITS = 5, 1024
+#: hot signatures of one in so many of a block's texts are compared together
+WIDE = 3
+#: lengths of the grams that near texts must share in some number, and bits that stand for them: a quick sieve, then a fine one
+SHARED_GRAMS = ((5, 1024), (6, 4096))
 #: edits permitted in 100 positions of the longer sequence
 EDITS_PER_100 = 8
 #: length of the anchors of the quick search for a moved stretch
 ANCHOR = 11
 #: pairs whose moves are searched together
 MOVED_CHUNK = 512
-#: a stretch is common to a block if its 10-grams occur in this share of the block's texts; only blocks of some size have any
-COMMON_GRAM, COMMON_SHARE, COMMON_LEAST = 10, 0.8, 200
-#: bases that a signing feature may have in common stretches
-COMMON_BASES = 6
 
 _CODES = np.arange(256, dtype=np.uint64) + np.uint64(4)
 for _i, _c in enumerate("ACGT"):
@@ -96,9 +95,9 @@ def _band(features: np.ndarray) -> np.ndarray:
 
 
 def _sign(parts: int, large: int = LARGE):
-    """Rows (rep, block, seq, common): rows (sig, rep, len, salt).
+    """Rows (rep, block, seq): rows (sig, rep, len, salt).
 
-    Members of a signature that is hot in a batch get a salt, and a row with rep -1 and salt 0 tells that it is.
+    Members of a signature that is hot in a batch get a salt, and a row with rep -1, len -1 and salt 0 tells that it is.
     """
 
     def one_band(band: np.ndarray, row_of: np.ndarray, mixed: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +139,7 @@ def _sign(parts: int, large: int = LARGE):
             inside = np.arange(grams.size) + Q <= offsets[1:][row_of] if grams.size else np.zeros(0, bool)
             inside &= (sizes >= SHORT)[row_of]
             blocks = batch.column("block").dictionary_encode()
-            block_of = blocks.indices.to_numpy().astype(np.uint64)
-            salt = np.array([hash_text(t) for t in blocks.dictionary.to_pylist()], np.uint64)[block_of.astype(np.int64)]
-            inside &= ~_in_common(batch, codes, grams.size, offsets, block_of, row_of, inside)
+            salt = np.array([hash_text(t) for t in blocks.dictionary.to_pylist()], np.uint64)[blocks.indices.to_numpy()]
             row_of, mixed = row_of[inside], _mix(grams[inside])
             features = np.maximum(sizes - Q + 1, 0)
             own, longer = _band(features), _band(features * 1.1)
@@ -164,81 +161,12 @@ def _sign(parts: int, large: int = LARGE):
             hot = count > large
             spread = np.where(hot[at], 1 + (_mix(rep.astype(np.uint64)) % np.uint64(SALTS - 1)).astype(np.int32), 0).astype(np.int32)
             told = int(hot.sum())
-            arrays = [np.concatenate((sig, values[hot])), np.concatenate((rep, np.full(told, -1, np.int64))), np.concatenate((size, np.zeros(told, np.int32))), np.concatenate((spread, np.zeros(told, np.int32)))]
+            arrays = [np.concatenate((sig, values[hot])), np.concatenate((rep, np.full(told, -1, np.int64))), np.concatenate((size, np.full(told, -1, np.int32))), np.concatenate((spread, np.zeros(told, np.int32)))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["sig", "rep", "len", "salt"])
 
     return run
 
 
-def _in_common(batch: pa.RecordBatch, codes: np.ndarray, grams: int, offsets: np.ndarray, block_of: np.ndarray, row_of: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Which features lie in their block's common stretches; none of a text that would keep less than a quarter of its features."""
-    per_block: dict[int, list] = {}
-    _, heads = np.unique(block_of, return_index=True)
-    for r in heads:
-        per_block[int(block_of[r])] = batch.column("common")[int(r)].as_py() or []
-    known = np.array(sorted((int(b) << 32) | g for b, own in per_block.items() for g in own), np.uint64)
-    if not known.size or not grams:
-        return np.zeros(grams, bool)
-    short = _grams(codes, COMMON_GRAM)
-    base_row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[: short.size]
-    met = np.isin((block_of[base_row] << np.uint64(32)) | short, known) & (np.arange(short.size) + COMMON_GRAM <= offsets[1:][base_row])
-    steps = np.zeros(codes.size + 1, np.int64)
-    np.add.at(steps, np.flatnonzero(met), 1)
-    np.add.at(steps, np.flatnonzero(met) + COMMON_GRAM, -1)
-    covered = np.concatenate(([0], np.cumsum(np.cumsum(steps)[:-1] > 0)))
-    out = covered[Q : Q + grams] - covered[:grams] > COMMON_BASES
-    left = np.bincount(row_of[inside & ~out], minlength=batch.num_rows)
-    return out & (4 * left >= np.bincount(row_of[inside], minlength=batch.num_rows))[row_of]
-
-
-def _local_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, seq): per block the texts seen here (gram null) and each 10-gram found in a tenth of them or more."""
-    texts: dict[str, int] = {}
-    counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes, offsets = _flat(batch.column("seq"))
-        grams = _grams(codes, COMMON_GRAM)
-        row_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[: grams.size]
-        real = np.arange(grams.size) + COMMON_GRAM <= offsets[1:][row_of]
-        blocks = batch.column("block").dictionary_encode()
-        of_row = blocks.indices.to_numpy()
-        order = np.argsort(of_row[row_of[real]], kind="stable")
-        grams, owner = grams[real][order], of_row[row_of[real]][order]
-        for b, name in enumerate(blocks.dictionary.to_pylist()):
-            texts[name] = texts.get(name, 0) + int((of_row == b).sum())
-            values, n = np.unique(grams[np.searchsorted(owner, b) : np.searchsorted(owner, b, "right")], return_counts=True)
-            if name in counts:
-                values, at = np.unique(np.concatenate((counts[name][0], values)), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate((counts[name][1], n)), minlength=values.size).astype(np.int64)
-            keep = n * 10 >= texts[name]  # what falls behind can no longer reach the share in this partition
-            counts[name] = np.stack((values[keep].astype(np.int64), n[keep]))
-    if texts:
-        names = [*texts, *(name for name, c in counts.items() for _ in range(c.shape[1]))]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names, pa.string()),
-                pa.concat_arrays([pa.nulls(len(texts), pa.int64()), *(pa.array(c[0]) for c in counts.values())]),
-                pa.array(np.concatenate([[*texts.values()], *(c[1] for c in counts.values())]).astype(np.int64)),
-            ],
-            names=["block", "gram", "n"],
-        )
-
-
-def common_grams(texts: DataFrame) -> DataFrame:
-    """(block, common): the 10-grams that nearly all of a block's texts share.
-
-    Each partition sends the grams found in a tenth of its own texts, at most ten times as many as a
-    text has; a gram in the share asked for is never missed by more than that tenth.
-    """
-    local = texts.select("block", "seq").mapInArrow(_local_grams, "block string, gram long, n long")
-    summed = local.groupBy("block", "gram").agg(F.sum("n").alias("n"))
-    total = summed.where("gram is null").select("block", F.col("n").alias("texts")).where(F.col("texts") >= COMMON_LEAST)
-    shared = summed.where("gram is not null").join(total, "block").where(F.col("n") >= COMMON_SHARE * F.col("texts"))
-    return shared.groupBy("block").agg(F.collect_list("gram").alias("common"))
-
-
 def hash_text(text: str | None) -> int:
     import xxhash
 
@@ -251,14 +179,14 @@ _PAIRS = "a long, b long, sig long, len int"
 def _pair_buckets(large: int):
     """Rows (sig, rep, len, salt) sorted by sig: pairs (a, b) of small buckets; members of hot ones come out with b null.
 
-    A bucket is hot if it has more than ``large`` members here or a salt or a row without a rep says so.
+    A bucket is hot if it has more than ``large`` members here or a salt or a row without a length says so.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs_of(sig: np.ndarray, rep: np.ndarray, size: np.ndarray, salt: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             count = np.diff(np.append(first, sig.size))
-            is_hot = np.repeat((count > large) | np.logical_or.reduceat((salt > 0) | (rep < 0), first), count)
+            is_hot = np.repeat((count > large) | np.logical_or.reduceat((salt > 0) | (size < 0), first), count)
             ia, ib = [], []
             at = np.arange(sig.size)
             left = np.repeat(first + count, count) - at - 1  # members that follow in the bucket
@@ -272,7 +200,7 @@ def _pair_buckets(large: int):
             ok = (100 * (top - low) <= EDITS_PER_100 * top) & (rep[i] != rep[j])
             a, b = np.minimum(rep[i[ok]], rep[j[ok]]), np.maximum(rep[i[ok]], rep[j[ok]])
             pair = np.unique(np.stack((a, b)), axis=1) if a.size else np.zeros((2, 0), np.int64)
-            hot = is_hot & (rep >= 0)
+            hot = is_hot & (size >= 0)
             n = int(hot.sum())
             return pa.RecordBatch.from_arrays(
                 [
@@ -306,53 +234,81 @@ def _pair_buckets(large: int):
 
 
 def _hot_rows(held: list[np.ndarray], start: int) -> pa.RecordBatch:
-    sig, rep, size, _ = (h[start:][held[1][start:] >= 0] for h in held)
+    sig, rep, size, _ = (h[start:][held[2][start:] >= 0] for h in held)
     return pa.RecordBatch.from_arrays([pa.array(rep), pa.nulls(rep.size, pa.int64()), pa.array(sig), pa.array(size.astype(np.int32))], names=["a", "b", "sig", "len"])
 
 
-def _gram_bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the bits of its short grams, as (word, text), and their number."""
-    codes, offsets = _flat(column)
-    grams = _grams(codes, SHARED_GRAM)
-    row_of = np.repeat(np.arange(len(column)), np.diff(offsets))[: grams.size]
-    real = np.arange(grams.size) + SHARED_GRAM <= offsets[1:][row_of]
-    bit = (_mix(grams[real]) % np.uint64(SHARED_BITS)).astype(np.int64)
-    flags = np.zeros((len(column), SHARED_BITS), bool)
-    flags[row_of[real], bit] = True
-    words = np.packbits(flags, axis=1, bitorder="little").view(np.uint64).T.copy()
-    return words, flags.sum(1)
+def _gram_bits(column: pa.Array, q: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the bits of its grams of ``q``, as (word, text), and their number."""
+    words, count = [], []
+    for at in range(0, len(column), 2048):
+        some = column.slice(at, 2048)
+        codes, offsets = _flat(some)
+        grams = _grams(codes, q)
+        row_of = np.repeat(np.arange(len(some)), np.diff(offsets))[: grams.size]
+        real = np.arange(grams.size) + q <= offsets[1:][row_of]
+        flags = np.zeros((len(some), bits), bool)
+        flags[row_of[real], (_mix(grams[real]) % np.uint64(bits)).astype(np.int64)] = True
+        words.append(np.packbits(flags, axis=1, bitorder="little").view(np.uint64))
+        count.append(flags.sum(1))
+    return np.concatenate(words).T.copy(), np.concatenate(count)
 
 
-def _may_be_near(words: np.ndarray, others: np.ndarray, most: np.ndarray, longer: np.ndarray, edits_per_100: int = EDITS_PER_100, wide: int = 1) -> np.ndarray:
+def _may_be_near(words: np.ndarray, others: np.ndarray, most: np.ndarray, longer: np.ndarray, q: int, edits_per_100: int = EDITS_PER_100, wide: int = 1) -> np.ndarray:
     """Whether texts share enough gram bits; never false for near ones.
 
-    An edit breaks at most SHARED_GRAM grams of a text, a move (three joints) 3 * (SHARED_GRAM - 1); ``most`` is the larger number of bits.
+    An edit breaks at most ``q`` grams of a text, a move (three joints) 3 * (q - 1); ``most`` is the larger number of bits.
     Grams are of bytes: an edit of a letter of up to four bytes breaks twice as many (``wide``).
     """
-    broken = longer * edits_per_100 // 100 * SHARED_GRAM * wide + 3 * (SHARED_GRAM - 1)
-    return np.bitwise_count(words & others).sum(0, dtype=np.int64) >= most - broken
+    broken = longer * edits_per_100 // 100 * q * wide + 3 * (q - 1)
+    return np.bitwise_count(words & others).sum(0, dtype=np.uint16) >= most - broken
+
+
+def _set_bits(column: pa.Array) -> np.ndarray:
+    """Lists of numbers as bits, (word, list): two lists have a number in common where their bits do."""
+    row_of = np.repeat(np.arange(len(column)), pa.compute.list_value_length(column).to_numpy())
+    values, at = np.unique(column.flatten().to_numpy(), return_inverse=True)
+    out = np.zeros((values.size // 64 + 1, len(column)), np.uint64)
+    np.bitwise_or.at(out, (at // 64, row_of), np.uint64(1) << (at % 64).astype(np.uint64))
+    return out
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, i, j, blk, rep, len, seq), sorted by the first three: pairs of different blocks, or within one if i = j, that may be near."""
+    """Rows (sig, i, j, blk, rep, len, seq, shared), sorted by the first three: pairs of different blocks, or within one if i = j,
+    that have one of their signatures ``shared`` in common and may be near.
+    """
 
     def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.take(pa.compute.sort_indices(table, [("len", "ascending")])).combine_chunks()
         rep, size, blk = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "len", "blk"))
-        words, bits = _gram_bits(table.column("seq").combine_chunks())
-        wide = 1 if pa.compute.sum(pa.compute.binary_length(table.column("seq"))).as_py() == int(size.sum()) else 2
+        seq = table.column("seq").combine_chunks()
+        wide = 1 if pa.compute.sum(pa.compute.binary_length(seq)).as_py() == int(size.sum()) else 2
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        if not left.size or not right.size:
+            return
+        sieves = []
+        for q, number in SHARED_GRAMS:
+            words, bits = _gram_bits(seq, q, number)
+            sieves.append((q, words[:, left], bits[left], words[:, right], bits[right]))
+        signs = _set_bits(table.column("shared").combine_chunks())
+        signs, own_signs = signs[:, right], signs[:, left]
+        rep_l, size_l, rep, size = rep[left], size[left], rep[right], size[right]
+        # both sides ascend by length: those of fitting length are a range
+        start = np.arange(left.size) + 1 if i == j else np.searchsorted(size, -(-size_l * (100 - EDITS_PER_100) // 100))
+        end = np.searchsorted(size, size_l * 100 // (100 - EDITS_PER_100), "right")
         found: list[np.ndarray] = []
         held = 0
-        for x in left:
-            ok = right[(rep[right] > rep[x]) if i == j else (rep[right] != rep[x])]
-            top, low = np.maximum(size[ok], size[x]), np.minimum(size[ok], size[x])
-            fits = 100 * (top - low) <= EDITS_PER_100 * top
-            ok, top = ok[fits], top[fits]
-            other = rep[ok[_may_be_near(words[:, ok], words[:, [x]], np.maximum(bits[ok], bits[x]), top, wide=wide)]]
-            found.append(np.stack((np.minimum(other, rep[x]), np.maximum(other, rep[x]))))
-            held += other.size
-            if held > 50_000 or x == left[-1]:
+        for x in range(left.size):
+            fit = np.arange(start[x], max(end[x], start[x]))
+            for k, (q, words_l, bits_l, words, bits) in enumerate(sieves):
+                some = words[:, start[x] : end[x]] if k == 0 else words[:, fit]
+                ok = _may_be_near(some, words_l[:, [x]], np.maximum(bits[fit], bits_l[x]), np.maximum(size[fit], size_l[x]), q, wide=wide)
+                fit = fit[ok]
+            fit = fit[(rep[fit] != rep_l[x]) & (signs[:, fit] & own_signs[:, [x]]).any(0)]
+            found.append(np.stack((np.minimum(rep[fit], rep_l[x]), np.maximum(rep[fit], rep_l[x]))))
+            held += fit.size
+            if held > 50_000 or x == left.size - 1:
                 a, b = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 found, held = [], 0
@@ -659,21 +615,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(reps: DataFrame, *, parts: int = PARTS, large: int = LARGE, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows of ``reps`` (rep, block, seq, common) that share a signature; of a hot one those that may be near."""
-    signed = reps.select("rep", "block", "seq", "common").mapInArrow(_sign(parts, large), "sig long, rep long, len int, salt int")
+    """Distinct pairs (a, b), a < b, of rows of ``reps`` (rep, block, seq) that share a signature; of a hot one those that may be near."""
+    signed = reps.select("rep", "block", "seq").mapInArrow(_sign(parts, large), "sig long, rep long, len int, salt int")
     first = materialise(signed.repartition("sig", "salt").sortWithinPartitions("sig").mapInArrow(_pair_buckets(large), _PAIRS), "buckets")
     found = [first.where("b is not null").select("a", "b")]
-    hot = first.where("b is null").select(F.col("a").alias("rep"), "sig", "len")
+    hot = first.where("b is null").select(F.col("a").alias("rep"), "sig")
     if not hot.isEmpty():
-        blocks = hot.groupBy("sig").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-        marked = hot.join(blocks, "sig").withColumn("blk", F.pmod(F.hash("rep"), F.col("_blocks")).cast("long"))
-        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, "blk").alias("i"), F.greatest(o, "blk").alias("j")))
-        texts = marked.join(reps.select("rep", "seq"), "rep").withColumn("_p", F.explode(others))
-        spread = texts.select("sig", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "blk", "rep", "len", "seq")
-        found.append(spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_block_pairs, "a long, b long"))
+        found.append(_hot_buckets(hot, reps, block).mapInArrow(_block_pairs, "a long, b long"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _hot_buckets(hot: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """Rows of ``_block_pairs`` from the members (rep, sig) of hot signatures: a bucket for each signature, one for all wide ones of a block.
+
+    A signature is wide if one in ``WIDE`` of the block's texts with hot signatures has it. That only saves comparing and sending texts again.
+    """
+    own = hot.groupBy("rep").agg(F.collect_set("sig").alias("sigs"))
+    texts = materialise(own.join(reps.select("rep", "block", "seq"), "rep"), "hot")
+    number = texts.groupBy("block").agg(F.count("*").alias("texts"))
+    met = texts.select("block", F.explode("sigs").alias("sig")).groupBy("block", "sig").agg(F.count("*").alias("n"))
+    wide = materialise(met.join(number, "block").where(F.col("n") * WIDE >= F.col("texts")).groupBy("block").agg(F.collect_list("sig").alias("wide")), "wide")
+    both = texts.join(wide, "block", "left").withColumn("wide", F.coalesce("wide", F.array().cast("array<bigint>")))
+    family = F.array(F.struct(F.xxhash64("block").alias("sig"), F.array_intersect("sigs", "wide").alias("shared")))
+    alone = F.transform(F.array_except("sigs", "wide"), lambda s: F.struct(s.alias("sig"), F.array(s).alias("shared")))
+    keyed = both.withColumn("_k", F.explode(F.filter(F.concat(family, alone), lambda k: F.size(k["shared"]) > 0)))
+    keyed = keyed.select("rep", F.length("seq").alias("len"), "seq", "_k.sig", "_k.shared")
+    blocks = materialise(keyed.groupBy("sig").agg(F.ceil(F.count("*") / block).alias("_blocks")), "blocks")
+    marked = keyed.join(blocks, "sig").withColumn("blk", F.pmod(F.hash("rep"), F.col("_blocks")).cast("long"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, "blk").alias("i"), F.greatest(o, "blk").alias("j")))
+    spread = marked.withColumn("_p", F.explode(others)).select("sig", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "blk", "rep", "len", "seq", "shared")
+    return spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+
 def near_pairs(df: DataFrame, rec_id: str, block: str, seq: str, *, parts: int = PARTS, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, rep) of the distinct texts, links (a, b) between near representatives.
 
@@ -688,7 +661,7 @@ def near_pairs(df: DataFrame, rec_id: str, block: str, seq: str, *, parts: int =
     rows = df.select(F.col(rec_id).cast("long").alias("id"), F.col(block).cast("string").alias("block"), F.upper(F.col(seq)).alias("seq")).dropna()
     reps = materialise(rows.groupBy("block", "seq").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
     members = rows.join(reps.where("copies > 1").select("block", "seq", "rep"), ["block", "seq"]).select("id", "rep").distinct()
-    pairs = candidate_pairs(reps.join(common_grams(reps), "block", "left"), parts=parts, large=large)
+    pairs = candidate_pairs(reps, parts=parts, large=large)
     text = reps.select("rep", "seq")
     met = pairs.join(text.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), "a").join(text.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b")), "b")
     links = materialise(met.select("a", "b", "seq_a", "seq_b").mapInArrow(_verify, "a long, b long"), "links")

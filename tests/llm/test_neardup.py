@@ -225,3 +225,39 @@ def test_copies_are_counted(spark):
     df = spark.createDataFrame([(5, "t", s), (7, "t", s.lower()), (9, "t", s[:60] + "A" + s[60:]), (11, "t", dna(120)), (12, None, s)], "id long, t string, s string")
     got = {r["id"]: (r["class"], r["links"], r["copies"]) for r in nd.near_classes(df, "id", "t", "s").collect()}
     assert got == {5: (5, 1, 2), 7: (5, 1, 2), 9: (5, 1, 1), 11: (11, 0, 1), 12: (12, 0, 1)}
+
+
+def test_pairs_do_not_depend_on_the_other_texts_of_a_block(spark):
+    r = random.Random(31)
+    front, back = dna(60, r), dna(60, r)
+    rows = []
+    for k in range(8):  # all edits lie between the stretches that the block shares
+        body = dna(50, r)
+        other = list(body)
+        for at in range(1, 50, 4):
+            other[at] = r.choice([c for c in "ACGT" if c != other[at]])
+        rows += [(2 * k, "t", front + body + back), (2 * k + 1, "t", front + "".join(other) + back)]
+    more = [(100 + k, "t", front + dna(r.randint(150, 200), r) + back) for k in range(300)]
+    want = {(2 * k, 2 * k + 1) for k in range(8)}
+    for table in (rows, rows + more):
+        _, links = nd.near_pairs(spark.createDataFrame(table, "id long, t string, s string"), "id", "t", "s")
+        assert {(x["a"], x["b"]) for x in links.collect()} == want
+
+
+@pytest.mark.parametrize(("large", "block"), [(3, 2000), (3, 7), (200, 2000)])
+def test_candidates_share_a_signature_however_hot(spark, large, block):
+    r = random.Random(32)
+    front, base = dna(40, r), dna(120, r)
+    texts = [front + dna(r.randint(100, 140), r) for _ in range(60)] + [front + edited(base, 6, r) for _ in range(30)]
+    rows = [(k - 75, "t", t) for k, t in enumerate(texts)]  # ids below 0 too
+    reps = spark.createDataFrame(rows, "rep long, block string, seq string").withColumn("common", F.lit(None).cast("array<long>"))
+    signs: dict = {}
+    for x in reps.mapInArrow(nd._sign(nd.PARTS, 10**6), "sig long, rep long, len int, salt int").collect():
+        signs.setdefault(x["sig"], set()).add(x["rep"])
+    shared = {p for members in signs.values() for p in itertools.combinations(sorted(members), 2)}
+    text = {k: s for k, _, s in rows}
+    pairs = sorted(shared)
+    real = {p for p, k in zip(pairs, nd.near([text[a] for a, _ in pairs], [text[b] for _, b in pairs]), strict=True) if k}
+    got = {(x["a"], x["b"]) for x in nd.candidate_pairs(reps, large=large, block=block).collect()}
+    assert len(real) > 300
+    assert real <= got <= shared
