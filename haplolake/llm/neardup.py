@@ -1,6 +1,18 @@
-"""Near-duplicate records: PartEnum signatures over the feature sets of equal size bands.
+"""Near-duplicate records: every pair of a block that may be near is found by a sieve, then verified exactly.
 
-The features of a sequence are its q-grams. Every size band divides the feature domain into parts
+Each text is compared with all texts of its block of fitting length. A near pair has to share a
+number of short grams; one bit for each gram a text has makes that a few words to intersect for a
+pair, many pairs at once. The bound holds for any near pair, so nothing is lost, whatever the other
+texts are. Blocks are cut into pieces by length,
+and every two pieces whose lengths can meet are a task, which verifies what passes and sends only
+links on. Work grows with the square of a block's texts.
+
+Where that is too much, ``near_pairs`` takes ``large``: then only texts with a common signature are
+compared, and recall is measured instead of exact. Work is less only if the texts of a block have no
+stretch (primers and the like) in common.
+
+PartEnum signatures over the feature sets of equal size bands: the features of a sequence are its
+q-grams. Every size band divides the feature domain into parts
 of less than one feature per sequence on average, and signs each of the first ``parts`` of them:
 the signature of a part is a digest of all features a sequence has in it. Two sequences share a
 signature wherever none of their differing features fell; the number of parts is chosen so that a
@@ -32,7 +44,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -53,8 +65,15 @@ LARGE = 200
 BLOCK = 2000
 #: hot signatures of one in so many of a block's texts are compared together
 WIDE = 3
-#: lengths of the grams that near texts must share in some number, and bits that stand for them: a quick sieve, then a fine one
+#: lengths of the grams that near texts must share in some number, and bits that stand for them (one for each gram of A, C, G, T): a quick sieve, then a fine one
 SHARED_GRAMS = ((5, 1024), (6, 4096))
+#: the same for the comparison of whole blocks: (letters of the longer text up to which they serve, length of the grams); edits break all
+#: longer ones of a brief text, and a long text has all shorter ones
+GRAMS_BY_LENGTH = ((39, 4), (400, 5), (1500, 6), (5000, 7), (14_000, 8), (40_000, 9), (2**31, 10))
+#: least and most letters in a piece of a block; between them a block has so many pieces
+PIECE, PIECES = (1_000_000, 20_000_000), 16
+#: texts that are sieved together, others that they meet at once, and pairs verified together
+TILE, TILE_WIDTH, LOT = 16, 2048, 4096
 #: edits permitted in 100 positions of the longer sequence
 EDITS_PER_100 = 8
 #: length of the anchors of the quick search for a moved stretch
@@ -82,11 +101,11 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _CODES[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
 
 
-def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+def _grams(codes: np.ndarray, q: int, base: int = 5) -> np.ndarray:
     n = max(codes.size - q + 1, 0)
     h = np.zeros(n, np.uint64)
     for k in range(q):
-        h = h * np.uint64(5) + codes[k : k + n]
+        h = h * np.uint64(base) + codes[k : k + n]
     return h
 
 
@@ -241,14 +260,15 @@ def _hot_rows(held: list[np.ndarray], start: int) -> pa.RecordBatch:
 def _gram_bits(column: pa.Array, q: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Per text the bits of its grams of ``q``, as (word, text), and their number."""
     words, count = [], []
-    for at in range(0, len(column), 2048):
-        some = column.slice(at, 2048)
+    step = max(2**23 // bits, 1)
+    for at in range(0, len(column), step):
+        some = column.slice(at, step)
         codes, offsets = _flat(some)
-        grams = _grams(codes, q)
+        grams = _grams(codes, q, 4)  # grams of A, C, G and T that have a bit of their own tell more than digests do
         row_of = np.repeat(np.arange(len(some)), np.diff(offsets))[: grams.size]
         real = np.arange(grams.size) + q <= offsets[1:][row_of]
         flags = np.zeros((len(some), bits), bool)
-        flags[row_of[real], (_mix(grams[real]) % np.uint64(bits)).astype(np.int64)] = True
+        flags[row_of[real], (grams[real] % np.uint64(bits)).astype(np.int64)] = True
         words.append(np.packbits(flags, axis=1, bitorder="little").view(np.uint64))
         count.append(flags.sum(1))
     return np.concatenate(words).T.copy(), np.concatenate(count)
@@ -260,8 +280,11 @@ def _may_be_near(words: np.ndarray, others: np.ndarray, most: np.ndarray, longer
     An edit breaks at most ``q`` grams of a text, a move (three joints) 3 * (q - 1); ``most`` is the larger number of bits.
     Grams are of bytes: an edit of a letter of up to four bytes breaks twice as many (``wide``).
     """
-    broken = longer * edits_per_100 // 100 * q * wide + 3 * (q - 1)
-    return np.bitwise_count(words & others).sum(0, dtype=np.uint16) >= most - broken
+    return np.bitwise_count(words & others).sum(0, dtype=np.uint16) >= most - _broken(longer, q, wide, edits_per_100)
+
+
+def _broken(longer: np.ndarray, q: int, wide: int = 1, edits_per_100: int = EDITS_PER_100) -> np.ndarray:
+    return longer * edits_per_100 // 100 * q * wide + 3 * (q - 1)
 
 
 def _set_bits(column: pa.Array) -> np.ndarray:
@@ -330,6 +353,117 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs_of(pa.concat_tables(rest))
 
 
+# --- whole blocks ----------------------------------------------------------------------------
+
+
+def _windows(task: np.ndarray, side: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, of rows sorted by task, side and size, the range of rows it is compared with: those of fitting length.
+
+    Side 0 is compared within itself, side 1 with side 2 of its task.
+    """
+    at = np.arange(task.size)
+    new = np.concatenate(([True], (task[1:] != task[:-1]) | (side[1:] != side[:-1])))
+    part = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    follows = np.append((task[first[1:]] == task[first[:-1]]) & (side[first[:-1]] == 1), False)
+    met = part + (side == 1)
+    key, base = part * 2**32 + size, met * 2**32
+    low = np.where(side == 0, at + 1, np.searchsorted(key, base - (-size * (100 - EDITS_PER_100) // 100)))
+    high = np.searchsorted(key, base + size * 100 // (100 - EDITS_PER_100), "right")
+    none = (side == 2) | ((side == 1) & ~follows[part])
+    return np.where(none, 0, low), np.where(none, 0, high)
+
+
+def _sieved(seq: pa.Array, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of texts, j in the range of i, that share as many grams as near ones must and aren't of too different letters."""
+    open_ = high > low
+    longest = np.maximum(size, size[np.maximum(high, 1) - 1])
+    least = -1
+    for most, q in GRAMS_BY_LENGTH:
+        mine = open_ & (longest > least) & (longest <= most)
+        least = most
+        if not mine.any():
+            continue
+        # only these texts and those they meet
+        met = mine | (np.cumsum(np.bincount(low[mine], minlength=size.size + 1) - np.bincount(high[mine], minlength=size.size + 1))[:-1] > 0)
+        number = np.append(0, np.cumsum(met))
+        some, rows = np.flatnonzero(met), np.flatnonzero(mine)
+        for i, j in _sieved_by(q, seq.take(pa.array(some)), size[some], number[rows], number[low[rows]], number[high[rows]]):
+            yield some[i], some[j]
+
+
+def _sieved_by(q: int, seq: pa.Array, size: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same by grams of ``q``, for the texts ``of``, whose ranges are given."""
+    wide = 1 if pa.compute.sum(pa.compute.binary_length(seq)).as_py() == int(size.sum()) else 2
+    words, bits = _gram_bits(seq, q, 4**q)
+    codes, offsets = _flat(seq)
+    row_of = np.repeat(np.arange(len(seq)), np.diff(offsets))
+    letters = np.stack([np.bincount(row_of[codes == c], minlength=len(seq)) for c in range(4)])
+    letters = np.concatenate((letters, size - letters.sum(0, keepdims=True)))
+    kind = np.uint8 if bits.max(initial=0) < 256 else np.int32
+    room = [np.empty(TILE * TILE_WIDTH, x) for x in (np.uint64, np.uint8, kind)]
+    for t in range(0, of.size, TILE):
+        rows, first, past = of[t : t + TILE], low[t : t + TILE], high[t : t + TILE]
+        own = words[:, rows, None]
+        for start in range(first.min(), past.max(), TILE_WIDTH):
+            end = min(start + TILE_WIDTH, past.max())
+            both, count, shared = (x[: rows.size * (end - start)].reshape(rows.size, -1) for x in room)
+            shared[:] = 0
+            for w, o in zip(words, own, strict=True):
+                np.bitwise_and(o, w[start:end], out=both)
+                np.add(shared, np.bitwise_count(both, out=count), out=shared)
+            # no more than any text of the tile needs, then what the very pair needs
+            need = np.maximum(bits[start:end], bits[rows].min()) - _broken(np.maximum(size[start:end], size[rows].max()), q, wide)
+            x, j = np.nonzero(shared >= np.clip(need, 0, np.iinfo(kind).max).astype(kind))
+            i, j, common = rows[x], j + start, shared[x, j].astype(np.int64)
+            top = np.maximum(size[i], size[j])
+            ok = (j >= first[x]) & (j < past[x]) & (common >= np.maximum(bits[i], bits[j]) - _broken(top, q, wide))
+            # an edit changes two counts of letters by one at most, a move none
+            ok &= np.abs(letters[:, i] - letters[:, j]).sum(0) <= 2 * (top * EDITS_PER_100 // 100)
+            yield i[ok], j[ok]
+
+
+def _near_in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, rep, len, seq), sorted by task, side and len: links (a, b) between near texts, a < b."""
+
+    def links_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        task, side, rep, size = (table.column(c).to_numpy().astype(np.int64) for c in ("task", "side", "rep", "len"))
+        seq = table.column("seq").cast(pa.large_string()).combine_chunks()
+        held: list[np.ndarray] = []
+
+        def verified() -> Iterator[pa.RecordBatch]:
+            i, j = np.concatenate(held, axis=1)
+            held.clear()
+            for at in range(0, i.size, LOT):
+                one, two = i[at : at + LOT], j[at : at + LOT]
+                ok = near(seq.take(pa.array(one)).to_pylist(), seq.take(pa.array(two)).to_pylist())
+                a, b = rep[one[ok]], rep[two[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for i, j in _sieved(seq, size, *_windows(task, side, size)):
+            other = rep[i] != rep[j]
+            held.append(np.stack((i[other], j[other])))
+            if sum(h.shape[1] for h in held) >= LOT:
+                yield from verified()
+        if held:
+            yield from verified()
+
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        last = batch.column("task")[-1].as_py()
+        if sum(b.nbytes for b in rest) < PIECE[0] or rest[0].column("task")[0].as_py() == last:
+            continue
+        table = pa.Table.from_batches(rest)
+        cut = int(np.searchsorted(table.column("task").to_numpy(), last))  # the last task may go on
+        yield from links_of(table.slice(0, cut))
+        rest = table.slice(cut).to_batches()
+    if rest:
+        yield from links_of(pa.Table.from_batches(rest))
+
+
 # --- verification ----------------------------------------------------------------------------
 
 
@@ -564,11 +698,11 @@ def any_move_near(left: list[str], right: list[str], allowed: np.ndarray, plain:
 
 
 def _may_be_moved(a: str, b: str, allowed: int) -> bool:
-    """Whether the texts share enough grams of two lengths; never false for texts that ``allowed`` edits and one move part.
+    """Whether the texts share enough grams of some lengths; never false for texts that ``allowed`` edits and one move part.
 
     An edit breaks at most q grams of a text, a move (three joints) 3 * (q - 1).
     """
-    for q in (7, 6):
+    for q in (7, 6, 5, 4, 3):
         one, two = ({s[i : i + q] for i in range(len(s) - q + 1)} for s in (a, b))
         if len(one & two) < max(len(one), len(two)) - allowed * q - 3 * (q - 1):
             return False
@@ -661,20 +795,52 @@ def _hot_buckets(hot: DataFrame, reps: DataFrame, block: int) -> DataFrame:
     return spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
 
-def near_pairs(df: DataFrame, rec_id: str, block: str, seq: str, *, parts: int = PARTS, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+def _whole_links(reps: DataFrame, piece: int | None) -> DataFrame:
+    """Links (a, b) among all texts of each block of ``reps`` (rep, block, seq).
+
+    A block is cut into pieces of so many letters by length, texts of one length at random; every two pieces whose lengths can meet are a task.
+    """
+    texts = reps.select("rep", "block", "seq", F.length("seq").alias("len"))
+    lengths = texts.groupBy("block", "len").agg(F.count("*").alias("n"))
+    least, most = PIECE
+    letters = F.col("n") * F.col("len")
+    of_piece = F.lit(piece) if piece else F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.sum(letters).over(Window.partitionBy("block")) / PIECES)))
+    before = F.sum(letters).over(Window.partitionBy("block").orderBy("len")) - letters
+    lengths = materialise(lengths.select("block", "len", "n", before.alias("before"), of_piece.cast("long").alias("piece")), "lengths")
+    number = lambda k: F.floor((F.col("before") + k * F.col("len")) / F.col("piece"))
+    pieces = lengths.select("block", "len", F.explode(F.sequence(number(F.lit(0)), number(F.col("n") - 1))).alias("i"))
+    pieces = pieces.groupBy("block", "i").agg(F.min("len").alias("low"), F.max("len").alias("high"))
+    others = pieces.select("block", F.col("i").alias("j"), F.col("low").alias("other"))
+    meet = (F.col("i") <= F.col("j")) & (F.col("other") * (100 - EDITS_PER_100) <= F.col("high") * 100)
+    tasks = materialise(pieces.join(others, "block").where(meet).select("block", "i", "j", F.monotonically_increasing_id().alias("task")), "tasks")
+    own = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("number"), F.lit(0).alias("side"))))
+    both = F.array(F.struct(F.col("i").alias("number"), F.lit(1).alias("side")), F.struct(F.col("j").alias("number"), F.lit(2).alias("side")))
+    sides = tasks.select("block", "task", F.explode(F.coalesce(own, both)).alias("_s")).groupBy("block", F.col("_s.number").alias("number")).agg(F.collect_list(F.struct("task", "_s.side")).alias("_in"))
+    placed = texts.join(lengths, ["block", "len"]).withColumn("number", number(F.pmod(F.xxhash64("rep"), F.col("n"))))
+    sent = placed.join(sides, ["block", "number"]).select(F.explode("_in").alias("_t"), "rep", "len", "seq").select("_t.task", "_t.side", "rep", "len", "seq")
+    # tasks are heavy for their bytes: as many partitions as are wanted, not as few as fit
+    wanted = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * reps.sparkSession.sparkContext.defaultParallelism)
+    return sent.repartition(wanted, "task").sortWithinPartitions("task", "side", "len").mapInArrow(_near_in_tasks, "a long, b long").distinct()
+
+
+def near_pairs(df: DataFrame, rec_id: str, block: str, seq: str, *, piece: int | None = None, parts: int = PARTS, large: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, rep) of the distinct texts, links (a, b) between near representatives.
 
     Near means: same ``block``, and at most 8 edits in 100 positions of the longer text, letter case
-    aside, directly or once one contiguous stretch is put back in its place.
+    aside, directly or once one contiguous stretch is put back in its place. All near pairs are found,
+    unless ``large`` (members of a hot signature) is given: then those with one of ``parts`` signatures in common.
 
     Rows with a null id, block or text belong nowhere and are left out. Copies share one
     representative (their smallest id) and are compared once. Empty texts are copies of each other.
     Letters other than A, C, G, T are ordinary symbols. An id that comes again with another text is a
-    member of both. Empty tables give empty results; other columns aren't read.
+    member of both. Empty tables give empty results; other columns aren't read. ``piece`` is the number of letters in a
+    piece of a block and changes no result.
     """
     rows = df.select(F.col(rec_id).cast("long").alias("id"), F.col(block).cast("string").alias("block"), F.upper(F.col(seq)).alias("seq")).dropna()
     reps = materialise(rows.groupBy("block", "seq").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
     members = rows.join(reps.where("copies > 1").select("block", "seq", "rep"), ["block", "seq"]).select("id", "rep").distinct()
+    if large is None:
+        return members, materialise(_whole_links(reps, piece), "links")
     pairs = candidate_pairs(reps, parts=parts, large=large)
     text = reps.select("rep", "seq")
     met = pairs.join(text.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), "a").join(text.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b")), "b")

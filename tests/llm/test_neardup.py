@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +263,76 @@ def test_candidates_share_a_signature_however_hot(spark, large, block):
     got = {(x["a"], x["b"]) for x in nd.candidate_pairs(reps, large=large, block=block).collect()}
     assert len(real) > 300
     assert real <= got <= shared
+
+
+def test_pairs_without_a_common_signature_are_found(spark):
+    r = random.Random(41)
+    rows = []
+    for k in range(20):  # edits so close that no feature is left
+        a = dna(150, r)
+        other = list(a)
+        for at in range(6, 150, 12):
+            other[at] = r.choice([c for c in "ACGT" if c != a[at]])
+        rows += [(2 * k, "t", a), (2 * k + 1, "t", "".join(other))]
+    _, links = nd.near_pairs(spark.createDataFrame(rows, "id long, t string, s string"), "id", "t", "s")
+    assert {(x["a"], x["b"]) for x in links.collect()} == {(2 * k, 2 * k + 1) for k in range(20)}
+
+
+def test_whole_blocks_against_brute_force(spark):
+    r = random.Random(42)
+    front, rows, k = dna(20, r), [], -50
+    for block in ("one", "two"):
+        for n in (0, 1, 9, 38, 130, 200):
+            for _ in range(2):
+                a = front[:n] + dna(max(n - 20, 0), r)
+                x, y, z = sorted(r.sample(range(n + 3), 3))
+                moved = a[:x] + a[y:z] + a[x:y] + a[z:]
+                for s in (a, edited(a, n * 8 // 100, r) if a else a, edited(moved, n * 4 // 100, r) if moved else a, a.replace("GA", "Nй")):
+                    rows.append((k, block, s))
+                    k += 1
+    rows += [(k, "one", "AAAA" + front * 3), (k, "one", front * 5), (k + 1, "one", front * 5 + "C"), (k + 2, "three", front), (k + 3, "none", None)]
+    df = spark.createDataFrame(rows, "id long, t string, s string")
+    reps: dict = {}
+    for i, t, s in rows:
+        if s is not None:
+            reps[t, s.upper()] = min(i, reps.get((t, s.upper()), i))
+    pairs = [(x, y) for x, y in itertools.combinations(reps, 2) if x[0] == y[0] and 100 * abs(len(x[1]) - len(y[1])) <= 8 * max(len(x[1]), len(y[1]))]
+    ok = nd.near([x[1] for x, _ in pairs], [y[1] for _, y in pairs])
+    want = {tuple(sorted((reps[x], reps[y]))) for (x, y), near in zip(pairs, ok, strict=True) if near and reps[x] != reps[y]}
+    assert len(want) > 30
+    for piece in (None, 700):
+        got = [(x["a"], x["b"]) for x in nd.near_pairs(df, "id", "t", "s", piece=piece)[1].collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == want
+
+
+def test_sieve_is_never_false_for_near_texts_of_any_length():
+    r = random.Random(43)
+    texts = []
+    for n in (5, 13, 25, 38, 39, 41, 130, 220, 399, 405, 1450, 1600, 5100):
+        for _ in range(2):
+            a = dna(n, r)
+            x, y, z = sorted(r.sample(range(n + 1), 3))
+            moved = a[:x] + a[y:z] + a[x:y] + a[z:]
+            out = list(moved)
+            for at in r.sample(range(n), n * 8 // 100):
+                out[at] = r.choice("ACGTN")
+            texts.append((a, "".join(out)))
+    flat = sorted((t, k) for k, pair in enumerate(texts) for t in pair)
+    flat.sort(key=lambda x: len(x[0]))
+    size = np.array([len(t) for t, _ in flat])
+    zero = np.zeros(size.size, np.int64)
+    passed = {tuple(sorted((int(i), int(j)))) for some in nd._sieved(pa.array([t for t, _ in flat]), size, *nd._windows(zero, zero, size)) for i, j in zip(*some, strict=True)}
+    twins = {(i, j) for i, j in itertools.combinations(range(len(flat)), 2) if flat[i][1] == flat[j][1]}
+    assert twins <= passed
+
+
+def test_few_unrelated_texts_with_common_primers_pass_the_sieve():
+    r = random.Random(44)
+    front, inner, back = dna(18, r), dna(12, r), dna(18, r)
+    texts = pa.array([front + dna(46, r) + inner + dna(46, r) + back for _ in range(300)])
+    q, number = nd.SHARED_GRAMS[0]
+    words, bits = nd._gram_bits(texts, q, number)
+    i, j = np.triu_indices(300, 1)
+    passed = nd._may_be_near(words[:, i], words[:, j], np.maximum(bits[i], bits[j]), np.full(i.size, 140), q)
+    assert passed.mean() < 0.01
